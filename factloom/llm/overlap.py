@@ -145,7 +145,7 @@ def exact_report(df: DataFrame, key: str = "row_id", text: str = "text", split:
     Rows without words count as rows, never as overlaps. A null source is a source of its own."""
     canon = df.select(F.col(split).alias("split"), F.col(source).alias("source"), F.md5(canonical(F.col(text))).alias("cls"), (canonical(F.col(text)) != "").alias("some"))
     seen = canon.filter("split = 'train' and some").select("cls").distinct().withColumn("seen", F.lit(1))
-    return canon.filter("split <> 'train'").join(seen, "cls", "left").groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count_if("seen = 1 and some").alias("n_in_train"))
+    return canon.filter("split <> 'train'").join(seen, "cls", "left").groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count_if((F.col("seen") == 1) & F.col("some")).alias("n_in_train"))
 
 
 def report(df: DataFrame, key: str = "row_id", text: str = "text", split: str = "split", source: str = "source") -> DataFrame:
