@@ -19,8 +19,7 @@ FIELD = r"^\s*[^\p{L}\n]{0,3}\s*\p{L}[\p{L}\p{M} _]{0,40}\s*[:=].*"
 
 def squeeze(c: Column) -> Column:
     """Lower case without white space and punctuation; a comma or point between two digits stays."""
-    kept = F.regexp_replace(F.lower(c), r"(?<!\p{Nd})[.,]|[.,](?!\p{Nd})", "")
-    return F.regexp_replace(kept, r"[^\p{L}\p{N}\p{M}.,]+", "")
+    return F.regexp_replace(F.lower(c), r"[^a-z0-9\p{L}\p{N}\p{M}.,]+|[.,](?:(?!\p{Nd})|(?<!\p{Nd}[.,]))", "")
 
 
 def canonical(text: Column) -> Column:
