@@ -18,7 +18,8 @@ from factloom.runtime import once
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX УY ԌG ԚQ ԜW аa еe оo рp сc хx іi јj ѕs уy һh ԁd ԛq ԝw ӏl ѵv"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ιi ρp αa υu κk"
 ARMENIAN_AND_OTHER = "օo ցg հh սu ոn Տ​S ɑa ɡg ɩi ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ".replace("​", "")
-SIGNS = "․. ∶: ∕/ ⁄/ ;; ﹐, ∗* ∣|"
+SIGNS = "\u2024. \u2236: \u2215/ \u2044/ \u037e; \ufe50, \u2217* \u2223|"
+MUCH = 10
 #: Characters without any ink that aren't spaces, besides Unicode's format characters (Cf).
 INKLESS = "͏ᅟᅠ឴឵ㅤﾠ"
 
@@ -94,6 +95,10 @@ def suspects() -> str:
     return "[" + "".join(spans) + "]"
 
 
+#: Ranges of ordinary characters that hold no suspect; a text of nothing else needs no closer look.
+ORDINARY = r"\x{0}-\x{7F}\x{A1}-\x{AC}\x{AE}-\x{131}\x{134}-\x{1C3}\x{1E00}-\x{1EFF}\x{2010}-\x{2023}\x{2030}-\x{2043}\x{2070}-\x{209C}"
+
+
 class Rewriter:
     """Greedy leftmost-longest rewriting of look-alike strings to their class's representative."""
 
@@ -105,10 +110,11 @@ class Rewriter:
         seen = lambda s: min((counts.get(c, 0) for c in s), default=1 << 62) if counts else 0
         self.to: dict[str, str] = {}
         for members in classes(pairs).values():
-            # The most frequent string of the class; of equal ones an ordinary one, the shortest, the first code point.
-            best = max(members, key=lambda s: (s == "", seen(s), s not in odd, -len(s), [-ord(c) for c in s]))
+            # The most frequent string of the class, an odd one only if it is MUCH more frequent than any ordinary one; of
+            # equal ones the shortest, then the first code point.
+            best = max(members, key=lambda s: (s == "", (seen(s) + 1) * (1 if s in odd else MUCH), -len(s), [-ord(c) for c in s]))
             for x in members:
-                if x != best and x:
+                if x and (x != best or x in odd):  # an odd string is told even where it is the common form
                     self.to[x] = best
         self.odd = odd
         self.automaton = ahocorasick.Automaton()
@@ -118,12 +124,28 @@ class Rewriter:
         self.automaton.make_automaton()
         script = "".join(re.escape(c) for c in self.contextual if ord(c) > 127)
         skip = "".join(re.escape(a) for a, b in pairs if b == "" and len(a) == 1)
-        self.word = re.compile(rf"[\ẁ-ͯ{skip}]*[{script}][\ẁ-ͯ{skip}]*")
+        self.script = re.compile(f"[{script}]")
+        self.part = re.compile(rf"[\w\u0300-\u036f{skip}]*")
+        self.one = re.compile(rf"[\w\u0300-\u036f{skip}]")
         self.mark = re.compile(r"(?<=[^\W\d_])[̀-ͯ]")
         self.latin = re.compile("[A-Za-zÀ-ɏḀ-ỿＡ-Ｚａ-ｚﬀ-ﬆ]")
 
+    def _foreign(self, text: str) -> list[tuple[int, int]]:
+        """Words with letters of another script and no Latin ones; each word is looked at once, so time is linear."""
+        out, end = [], 0
+        for m in self.script.finditer(text):
+            begin = m.start()
+            if begin < end:
+                continue
+            low, end = begin, self.part.match(text, begin).end()
+            while low > 0 and self.one.match(text, low - 1):
+                low -= 1
+            if not self.latin.search(text, low, end):
+                out.append((low, end))
+        return out
+
     def _once(self, text: str) -> tuple[str, bool]:
-        keep = [m.span() for m in self.word.finditer(text) if not self.latin.search(m.group())]  # words wholly in another script
+        keep = self._foreign(text)  # words wholly in another script
         out, at, odd, k = [], 0, False, 0
         for end, x in self.automaton.iter_long(text):
             begin = end - len(x) + 1
@@ -173,7 +195,7 @@ def normalise(texts: DataFrame, keys: list[str], text: str = "text", counts: dic
     scripts count only in words that hold Latin letters, too. Null texts stay null, empty ones empty, odd false.
     Texts without any suspect character never leave the JVM. Repeated rows stay repeated.
     """
-    odd = F.col("text").rlike(suspects())
+    odd = F.col("text").rlike(f"[^{ORDINARY}]") & F.col("text").rlike(suspects())
     narrow = texts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("text"))
     counts = character_counts(narrow) if counts is None else counts
 
