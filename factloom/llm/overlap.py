@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,27 +13,48 @@ from pyspark.sql import functions as F
 from factloom.runtime import durable
 
 WORDS_PER_EDIT = 10
+LONG = 120  # words; texts up to here are matched by segments, longer ones by windows of n-grams
+RUN, GRAM = 8, 5
 SALT = 64
 HOT = 20_000
 
 
 def canonical(c: Column) -> Column:
     """Words in lower case, one space apart: marks between digits and apostrophes vanish, other signs part words."""
-    joined = F.regexp_replace(F.lower(c), r"(?<=\p{Nd})[.,](?=\p{Nd})|['’`]", "")
-    return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}\p{M}]+", " "))
+    joined = F.regexp_replace(F.lower(c), r"[.,](?=\p{Nd})(?<=\p{Nd}[.,])|['’`]", "")
+    return F.trim(F.regexp_replace(joined, r"[^a-z0-9\p{L}\p{N}\p{M}]+", " "))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def segments(canon: str, digits: str, probe: bool) -> list[int]:
     """Hash keys under which two texts within the allowed edits share at least one.
 
-    A text of La words that may differ by K edits falls into K+1 segments; one of them is unchanged in the other text
-    and shifted by no more than the edits beside it. The index side gives its own segments, the probing side the word
-    runs that could be such a segment of any length La that is near enough."""
+    Up to LONG words: a text of La words that may differ by K edits falls into K+1 segments; one of them is unchanged
+    in the other text and shifted by no more than the edits beside it. The index side gives its own segments, the
+    probing side the word runs that could be such a segment of any length La that is near enough.
+    Pairs with a longer text have at least RUN words in a row in common, hence RUN - GRAM + 1 neighbouring word n-grams,
+    hence the least hash among them: each side gives the least hash of every such window."""
     at = [0]
     for word in canon.split(" "):
         at.append(at[-1] + len(word) + 1)
     n, out = len(at) - 1, set()
-    low, high = (n, n) if not probe else (n - n // WORDS_PER_EDIT, n * WORDS_PER_EDIT // (WORDS_PER_EDIT - 1) + 1)
+    if n > LONG - LONG // (WORDS_PER_EDIT - 1) - 2:
+        grams = [xxhash.xxh3_64_intdigest(f"{digits}|{canon[at[i] : at[i + GRAM] - 1]}") for i in range(n - GRAM + 1)]
+        wide, queue = RUN - GRAM + 1, deque()
+        for i, g in enumerate(grams):
+            while queue and queue[-1][0] >= g:
+                queue.pop()
+            queue.append((g, i))
+            if queue[0][1] <= i - wide:
+                queue.popleft()
+            if i >= wide - 1:
+                out.add(queue[0][0])
+    if n > LONG:
+        return [_signed(x) for x in out]
+    low, high = (n, n) if not probe else (n - n // WORDS_PER_EDIT, min(LONG, n * WORDS_PER_EDIT // (WORDS_PER_EDIT - 1) + 1))
     for la in range(low, high + 1):
         most = range(la // WORDS_PER_EDIT, la * WORDS_PER_EDIT // (WORDS_PER_EDIT - 1) // WORDS_PER_EDIT + 1) if not probe else [max(la, n) // WORDS_PER_EDIT]
         for k in most:
@@ -48,7 +70,7 @@ def segments(canon: str, digits: str, probe: bool) -> list[int]:
                 head = f"{digits}|{la}|{k}|{i}|"
                 for s in shifts:
                     out.add(xxhash.xxh3_64_intdigest(head + canon[at[begin + s] : at[end + s] - 1]))
-    return [x - (1 << 64) if x >> 63 else x for x in out]
+    return [_signed(x) for x in out]
 
 
 def _keys(probe: bool):
@@ -68,24 +90,26 @@ def _keys(probe: bool):
 
 
 def within(a: list[str], b: list[str], k: int) -> bool:
-    """Whether at most k changed, added or dropped words make b of a."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    p = 0
-    while p < min(len(a), len(b)) and a[p] == b[p]:
-        p += 1
-    a, b = a[p:], b[p:]
-    if abs(len(a) - len(b)) > k:
+    """Whether at most k changed, added or dropped words make b of a: for 0, 1, ... edits, how far each diagonal of the
+    edit table reaches; near texts end after few rounds, however long they are."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
         return False
-    far, row = k + 1, {j: j for j in range(min(len(b), k) + 1)}
-    for i in range(1, len(a) + 1):
-        new = {}
-        for j in range(max(0, i - k), min(len(b), i + k) + 1):
-            new[j] = i if j == 0 else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (a[i - 1] != b[j - 1]))
-        if min(new.values()) > k:
-            return False
-        row = new
-    return row.get(len(b), far) <= k
+    reach: dict[int, int] = {}
+    for e in range(k + 1):
+        new: dict[int, int] = {}
+        for d in range(max(-e, -n), min(e, m) + 1):  # d: words of b ahead of a
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1) if e else 0
+            if i < 0:
+                continue
+            i = min(i, n, m - d)
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            new[d] = i
+        if new.get(m - n, -1) >= n:
+            return True
+        reach = new
+    return False
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +139,7 @@ def pairs(df: DataFrame, key: str = "row_id", text: str = "text", split: str = "
     filter for the edit distance and every candidate is verified on its whole text.
     """
     rows = classes(df, key, text, split)
+    members = durable(rows.select("id", "train", "cls"))
     own = durable(rows.groupBy("cls").agg(F.any_value("canon").alias("canon"), F.any_value("digits").alias("digits"), F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval")))
     index = own.filter("n_train > 0").select("cls", "canon", "digits").mapInArrow(_keys(False), "k long, cls binary")
     probe = own.filter("n_eval > 0").select("cls", "canon", "digits").mapInArrow(_keys(True), "k long, cls binary")
@@ -124,7 +149,7 @@ def pairs(df: DataFrame, key: str = "row_id", text: str = "text", split: str = "
     near = hit.select("cls_a", "cls_b", "canon_a", "canon_b").mapInArrow(_verify, "cls_a binary, cls_b binary")
     same = own.filter("n_train > 0 and n_eval > 0").select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     links = near.unionByName(same).join(own.select(F.col("cls").alias("cls_a"), "n_train"), "cls_a")
-    return _rows(links, rows)
+    return _rows(links, members)
 
 
 def _rows(links: DataFrame, rows: DataFrame) -> DataFrame:
