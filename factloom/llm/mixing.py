@@ -72,6 +72,6 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
     got = documents.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"), F.count("*").alias("used_docs"))
     report = cuts.join(got, "source", "left").fillna(0, ["mixed_tokens", "most_copies", "used_docs"])
     share = F.round(100 * F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))), 4)
-    report = report.withColumn("actual_pct", F.coalesce(share, F.lit(0.0))).withColumn("short_tokens", F.greatest(F.lit(0), F.floor(F.lit(total) * F.col("target_pct") / 100) - F.col("mixed_tokens")).cast("long"))
+    report = report.withColumn("actual_pct", F.coalesce(share, F.lit(0.0))).withColumn("short_tokens", F.greatest(F.lit(0), F.floor(F.lit(total).cast("long") * F.col("target_pct") / 100) - F.col("mixed_tokens")).cast("long"))
     report = report.select("source", "target_pct", "max_repeats", "docs", F.col("tokens").alias("available_tokens"), "used_docs", "most_copies", "mixed_tokens", "actual_pct", "short_tokens")
     return Mix(documents.withColumnsRenamed({"key": key, "source": source}), report.withColumnRenamed("source", source))
