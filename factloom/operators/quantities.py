@@ -104,7 +104,7 @@ def read_text(text: str | None) -> tuple[float | None, tuple[str, float] | None]
         before = re.search(rf"({NUMBER})[\s ]*$", text[: m.start()])
         if before:
             return number(before.group(1)), unit
-        after = re.match(rf"[\s)]*[:=][\s]*({NUMBER})", text[m.end() :])
+        after = re.match(rf"[\s)]*[:=]\s*({NUMBER})", text[m.end() : m.end() + 60])
         if after:
             return number(after.group(1)), unit
         if first is None and len(m["unit"]) > 1:
