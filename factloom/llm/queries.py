@@ -28,7 +28,7 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.corpus(table(spark, d, "layoutlmv3_layout"), table(spark, d, "raw_documents"))
+    return lookalikes.corpus(table(spark, d, "layoutlmv3_layout", heavy=True), table(spark, d, "raw_documents", heavy=True))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,19 +40,19 @@ def p2_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.pairs(table(spark, d, "scope_dataset_balanced"))
+    return overlap.pairs(table(spark, d, "scope_dataset_balanced", heavy=True))
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.report(table(spark, d, "scope_dataset_balanced"))
+    return overlap.report(table(spark, d, "scope_dataset_balanced", heavy=True))
 
 
 def p3_exact(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.exact_report(table(spark, d, "scope_dataset_balanced"))
+    return overlap.exact_report(table(spark, d, "scope_dataset_balanced", heavy=True))
 
 
 def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return table(spark, d, "layoutlmv3_layout"), table(spark, d, "all_tables"), table(spark, d, "report_files")
+    return table(spark, d, "layoutlmv3_layout", heavy=True), table(spark, d, "all_tables", heavy=True), table(spark, d, "report_files")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,15 +68,15 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return copies.groups(table(spark, d, "label_scope_dataset")).filter("row_id <> first_row_id").select("first_row_id", "row_id")
+    return copies.groups(table(spark, d, "label_scope_dataset", heavy=True)).filter("row_id <> first_row_id").select("first_row_id", "row_id")
 
 
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    return copies.collapse(table(spark, d, "label_scope_dataset"))
+    return copies.collapse(table(spark, d, "label_scope_dataset", heavy=True))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    pages = splitting.pages(table(spark, d, "raw_documents"), table(spark, d, "split_limits"))
+    pages = splitting.pages(table(spark, d, "raw_documents", heavy=True), table(spark, d, "split_limits"))
     return splitting.split(pages, ["raw_id", "page_no"], "text", "max_chars", "overlap_chars")
 
 
