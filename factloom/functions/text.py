@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +21,11 @@ def normalize_text(c: Column) -> Column:
 
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
-    """X-14: one of the phrases stands in the lower-case text, as a substring."""
-    return false(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w)))
+    """X-14: one of the phrases stands in the lower-case text, as a substring. Phrases that hold another one of the list
+    say nothing more and are left out; a chain of contains() stays inside generated code."""
+    least = [w for w in words if not any(v != w and v in w for v in words)]
+    low = F.lower(c)
+    return false(reduce(or_, [F.contains(low, F.lit(w)) for w in dict.fromkeys(least)]))
 
 
 def value_unit(c: Column) -> Column:
@@ -29,13 +35,15 @@ def value_unit(c: Column) -> Column:
         n = F.regexp_extract(c, rf"(?iU)(?<![\p{{L}}\p{{N}}_.]){N}\s*(?:[-–—]\s*)?(?:{pattern})(?![\p{{L}}\p{{N}}_])", 1)
         return F.when(n != "", F.struct(plain_number(n).alias("value"), F.lit(unit).alias("unit")))
 
-    return F.coalesce(*[one(u, p) for u, p in UNIT_PATTERNS], F.lit(None).cast("struct<value:double,unit:string>"))
+    found = F.coalesce(*[one(u, p) for u, p in UNIT_PATTERNS], F.lit(None).cast("struct<value:double,unit:string>"))
+    return F.when(c.rlike("[0-9]"), found)
 
 
 def explicit_scopes(c: Column) -> Column:
     """X-12: the scopes 1 to 3 a text names, distinct and sorted; none: an empty array."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?iU)\bscope\s*([123])\b"), F.lit(1))
-    return F.transform(F.array_sort(F.array_distinct(found)), lambda x: F.concat(F.lit("Scope "), x))
+    named = F.transform(F.array_sort(F.array_distinct(found)), lambda x: F.concat(F.lit("Scope "), x))
+    return F.when(F.contains(F.lower(c), F.lit("scope")), named).otherwise(F.array().cast("array<string>"))
 
 
 def scope_context(c: Column) -> Column:

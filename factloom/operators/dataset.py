@@ -22,19 +22,21 @@ def keep_text(df: DataFrame, text: str = "text", config: Config = DEFAULT) -> Da
     return df.filter(t.meaningful(F.col(text), config) | t.contains_any(F.col(text), config.dataset_words))
 
 
-def _first(df: DataFrame, by: list[Column], tie: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("scope", F.desc_nulls_last("semantic_score"), tie)
-    return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+def _first(df: DataFrame, by: Column, tie: str) -> DataFrame:
+    """The first row of each group as an aggregate, so a group that holds much of the table is combined before it moves."""
+    score = F.col("semantic_score")
+    order = F.struct(F.col("scope"), score.isNull().alias("n"), (-score).alias("s"), F.col(tie).alias("t"), F.struct(*df.columns).alias("row"))
+    return df.groupBy(by.alias("_by")).agg(F.min(order)["row"].alias("row")).select("row.*")
 
 
 def unique_texts(df: DataFrame, text: str = "text", tie: str = "row_id") -> DataFrame:
     """D-03: one row per normalised text: first by scope, then by score, nulls last, then by key."""
-    return _first(df, [F.lower(t.normalize_text(F.col(text)))], tie)
+    return _first(df, F.lower(t.normalize_text(F.col(text))), tie)
 
 
 def unique_blocks(df: DataFrame, block: str = "block_id", tie: str = "row_id") -> DataFrame:
     """D-04: one row per trimmed block id, in the same order; null and blank ids are one block."""
-    return _first(df, [t.py_trim(F.coalesce(F.col(block), F.lit("")))], tie)
+    return _first(df, t.py_trim(F.coalesce(F.col(block), F.lit(""))), tie)
 
 
 STRONG = ("emission", "emissions", "ghg", "carbon", "greenhouse", "climate", "energy", "electricity")
@@ -43,12 +45,16 @@ OTHER_GOOD = ("climate", "energy", "emission", "sustainability", "renewable", "n
 OTHER_TOPICS = ("waste", "water", "travel", "supply chain", "commuting", "procurement", "logistics")
 
 
-def quality_score(config: Config = DEFAULT) -> Column:
-    """D-06: additive score of a row from its text, matched chunk, type, scope and semantic score."""
+def with_quality(df: DataFrame, name: str = "quality_score", config: Config = DEFAULT) -> DataFrame:
+    """D-06: rows with their additive score from text, matched chunk, type, scope and semantic score."""
     low = lambda c: F.lower(t.normalize_text(F.col(c)))
-    txt, chunk = low("text"), low("matched_chunk")
+    df = df.withColumn("_txt", low("text")).withColumn("_chunk", low("matched_chunk"))
+    return df.withColumn(name, _quality(F.col("_txt"), F.col("_chunk"), config)).drop("_txt", "_chunk")
+
+
+def _quality(txt: Column, chunk: Column, config: Config) -> Column:
     both = F.concat(txt, F.lit(" "), chunk)
-    count = lambda c: F.size(t.words_of(c))
+    count = lambda c: F.when(c == "", 0).otherwise(F.size(F.split(c, " ")))
     when = lambda cond, x: F.when(cond, x).otherwise(0.0)
     known = t.contains_any(both, config.dataset_words)
     kind = F.lower(t.py_trim(F.coalesce(F.col("type"), F.lit(""))))
@@ -65,10 +71,12 @@ def quality_score(config: Config = DEFAULT) -> Column:
 
 
 def downsample(df: DataFrame, tie: str = "row_id", config: Config = DEFAULT) -> DataFrame:
-    """D-07: the best rows of each class up to its target; classes without target are left out."""
+    """D-07: the best rows of each class up to its target; classes without target are left out.
+
+    The greatest target bounds what a task passes on, so a large class never meets in one task as a whole."""
     target = F.create_map(*[F.lit(x) for pair in config.class_targets for x in pair])
     w = Window.partitionBy("scope").orderBy(F.desc("quality_score"), F.desc_nulls_last("semantic_score"), tie)
-    return df.withColumn("class_rank", F.row_number().over(w)).filter(F.col("class_rank") <= F.try_element_at(target, F.col("scope")))
+    return df.withColumn("class_rank", F.row_number().over(w)).filter(F.col("class_rank") <= max(n for _, n in config.class_targets)).filter(F.col("class_rank") <= F.try_element_at(target, F.col("scope")))
 
 
 def oversample(df: DataFrame, seed: int = 42, tie: str = "row_id", config: Config = DEFAULT) -> DataFrame:
@@ -80,8 +88,9 @@ def oversample(df: DataFrame, seed: int = 42, tie: str = "row_id", config: Confi
     target = F.create_map(*[F.lit(x) for pair in config.class_targets for x in pair])
     w = F.greatest(F.coalesce("quality_score", F.lit(0.0)), F.lit(0.01))
     cls = Window.partitionBy("scope")
-    d = df.filter(F.col("scope").isin("Scope 1", "Scope 2")).withColumn("w", w)
-    d = d.withColumn("need", F.try_element_at(target, F.col("scope")) - F.count("*").over(cls)).filter("need > 0")
+    some = df.filter(F.col("scope").isin("Scope 1", "Scope 2"))
+    short = some.groupBy("scope").agg(F.count("*").alias("have")).withColumn("need", F.try_element_at(target, F.col("scope")) - F.col("have")).filter("need > 0")
+    d = some.join(short.select("scope", "need"), "scope").withColumn("w", w)  # classes below their target only, hence small
     d = d.withColumn("upto", F.sum("w").over(cls.orderBy(F.xxhash64(F.lit(seed), F.col(tie)), tie)) / F.sum("w").over(cls))
     u = (seed * 0.6180339887498949) % 1.0
     before = F.coalesce(F.lag("upto").over(cls.orderBy("upto", tie)), F.lit(0.0))
@@ -89,12 +98,11 @@ def oversample(df: DataFrame, seed: int = 42, tie: str = "row_id", config: Confi
     return d.filter("copies > 0").select(tie, "scope", "copies")
 
 
-def split(df: DataFrame, by: str | None = "scope", key: str = "row_id", seed: str = "42", train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """D-11: train, validation and test by place in a hash order, within each class if `by` is given."""
-    h = F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string")))
-    part = [F.col(by)] if by else [F.lit(0)]
-    share = F.percent_rank().over(Window.partitionBy(*part).orderBy(h, key))
-    return df.withColumn("fold", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test"))
+def split(df: DataFrame, key: str = "row_id", seed: str = "42", train: float = 0.8, validation: float = 0.1) -> DataFrame:
+    """D-11: train, validation and test by the hash of the key: the same shares are expected within every class, no row
+    moves, and a row keeps its part when others come or go."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    return df.withColumn("fold", F.when(h < train, "train").when(h < train + validation, "validation").otherwise("test"))
 
 
 def encode_labels(df: DataFrame, labels: tuple[str, ...], column: str = "scope") -> DataFrame:

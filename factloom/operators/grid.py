@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import numbers as n
 from factloom.functions import text as t
 from factloom.lexicon import DEFAULT, Config
+from factloom.runtime import durable
 
 KEY = ["table_key", "row_no", "col_no"]
 
@@ -127,7 +128,7 @@ def facts(cells: DataFrame, config: Config = DEFAULT) -> DataFrame:
     header row, else from all rows above the data (last 20xx of a cell, lower rows win), else none and every column but
     metric and unit is a value column. Rows without metric, of headings, totals and table words are skipped; of equal
     (metric, year, value, column) the first row stays. A table of one row takes its first text cell as metric."""
-    m = _cell(cells, config)
+    m = durable(_cell(cells, config))  # six joins read the marked cells
     heads = header_rows(m)
     many = header_columns(m, heads.filter("n_rows > 1")).withColumn("start", F.greatest("header_row", "key_row") + 1)
     own_years = m.join(many.select("table_key", "key_row"), "table_key").filter("row_no = key_row and year is not null").select("table_key", "col_no", "year")

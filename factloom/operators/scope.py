@@ -15,16 +15,19 @@ def _scope_of(i: Column) -> Column:
     return F.get(F.array(*map(F.lit, SCOPES)), i)
 
 
-def resolve(text: Column, p: Column, config: Config = DEFAULT) -> Column:
+def resolve(text: Column, p: Column, config: Config = DEFAULT, named: Column | None = None, measured: Column | None = None, context: Column | None = None) -> Column:
     """R-01: struct(scope, scope_id, confidence, scope_source, decision_reason, evidence, model_scope, model_confidence).
 
     First rule that holds: several scopes named: Mixed; one named: that one; the model says Other; the text isn't
-    eligible; the model is surer than the threshold; else Other. p: class probabilities, Other first."""
-    named = t.explicit_scopes(text)
+    eligible; the model is surer than the threshold; else Other. p: class probabilities, Other first. named, measured
+    and context may be given as columns that are there already."""
+    named = t.explicit_scopes(text) if named is None else named
+    measured = t.value_unit(text).isNotNull() if measured is None else measured
+    context = t.scope_context(text) if context is None else context
+    eligible = t.false(F.length(t.py_trim(text)) >= 3) & ((F.size(named) > 0) | context | measured)
     best = v.argmax(p)
     top = F.round(F.get(p, best), 4)
     other = F.round(F.get(p, F.lit(0)), 4)
-    measured = t.value_unit(text).isNotNull()
     evidence = F.left(text, F.lit(300))
 
     def out(scope, i, confidence, source, reason, shown=True) -> Column:
@@ -35,22 +38,28 @@ def resolve(text: Column, p: Column, config: Config = DEFAULT) -> Column:
         )
 
     first = F.get(named, F.lit(0))
-    weak = F.when(measured | t.scope_context(text), "low_confidence").otherwise("low_confidence,missing_esg_evidence")
+    weak = F.when(measured | context, "low_confidence").otherwise("low_confidence,missing_esg_evidence")
     return (
         F.when(F.size(named) > 1, out("Mixed", -1, 1.0, "explicit_mentions", "multiple_explicit_scopes"))
         .when(F.size(named) == 1, out(first, F.right(first, F.lit(1)).cast("int"), 1.0, "explicit_mention", "single_explicit_scope"))
         .when(best == 0, out("Other", 0, top, "model", "model_predicted_other", False))
-        .when(~t.eligible(text), out("Other", 0, other, "eligibility_gate", "not_esg_eligible", False))
+        .when(~eligible, out("Other", 0, other, "eligibility_gate", "not_esg_eligible", False))
         .when(top > config.scope_confidence, out(_scope_of(best), best, top, F.when(measured, "model_with_measurement_and_esg_context").otherwise("model_with_esg_context"), "supported_non_other_prediction"))
         .otherwise(out("Other", 0, other, "policy_filter", weak, False))
     )
 
 
+def resolved(blocks: DataFrame, text: str, p: Column, config: Config = DEFAULT) -> DataFrame:
+    """Blocks with v, the struct of value and unit, and r, the struct of `resolve`; each pattern runs once a row."""
+    c = F.col(text)
+    b = blocks.withColumn("_p", p).withColumn("v", t.value_unit(c)).withColumn("_named", t.explicit_scopes(c)).withColumn("_context", t.scope_context(c))
+    return b.withColumn("r", resolve(c, F.col("_p"), config, F.col("_named"), F.col("v").isNotNull(), F.col("_context"))).drop("_p", "_named", "_context")
+
+
 def classify(blocks: DataFrame, text: str, logits: Column, temperature: float | None = None, config: Config = DEFAULT) -> DataFrame:
     """Blocks with value, unit and the resolved scope; `logits` are the scores of a model, an input here."""
-    p = v.softmax(logits, config.temperature if temperature is None else temperature)
-    vu = t.value_unit(F.col(text))
-    return blocks.withColumn("_p", p).withColumn("_r", resolve(F.col(text), F.col("_p"), config)).select("*", vu["value"].alias("value"), vu["unit"].alias("unit"), "_r.*").drop("_p", "_r")
+    b = resolved(blocks, text, v.softmax(logits, config.temperature if temperature is None else temperature), config)
+    return b.select(*blocks.columns, "v.value", "v.unit", "r.*")
 
 
 def route(blocks: DataFrame, text: str = "text", kind: str = "type") -> DataFrame:

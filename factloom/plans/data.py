@@ -179,7 +179,7 @@ def v08_label_ready(s: S, d: str) -> DataFrame:
 
 # Data sets.
 def _labelled(s: S, d: str) -> DataFrame:
-    return dataset.complete(table(s, d, "label_scope_dataset"), ()).select("row_id", "block_id", "type", "semantic_score", "matched_chunk", "text", "scope")
+    return dataset.complete(table(s, d, "label_scope_dataset", heavy=True), ()).select("row_id", "block_id", "type", "semantic_score", "matched_chunk", "text", "scope")
 
 
 def _cleaned(s: S, d: str) -> DataFrame:
@@ -208,11 +208,11 @@ def d05_cleaned(s: S, d: str) -> DataFrame:
 
 
 def d06_quality(s: S, d: str) -> DataFrame:
-    return _labelled(s, d).select("row_id", F.round(dataset.quality_score(), 4).alias("quality"))
+    return dataset.with_quality(_labelled(s, d), "q").select("row_id", F.round("q", 4).alias("quality"))
 
 
 def _scored(s: S, d: str) -> DataFrame:
-    return _cleaned(s, d).withColumn("quality_score", F.round(dataset.quality_score(), 6))
+    return dataset.with_quality(_cleaned(s, d)).withColumn("quality_score", F.round("quality_score", 6))
 
 
 def d07_downsample(s: S, d: str) -> DataFrame:
@@ -401,7 +401,7 @@ _QUALITY = " + ".join([
 _CLEANED = f"{_LABELLED}, kept AS (SELECT * FROM labelled WHERE {_KEEP}), ut AS ({_uniq('kept', _LOW)}), ub AS ({_uniq('ut', _BLOCK)}), cleaned AS (SELECT * FROM ub WHERE {_MEANINGFUL}), scored AS (SELECT *, round({_QUALITY}, 6) AS quality_score FROM cleaned)"
 _TARGET = "CASE scope " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DEFAULT.class_targets) + " END"
 _RANKED = f"ranked AS (SELECT row_id, scope, row_number() OVER (PARTITION BY scope ORDER BY quality_score DESC, semantic_score DESC NULLS LAST, row_id) AS class_rank FROM scored), chosen AS (SELECT * FROM ranked WHERE class_rank <= {_TARGET})"
-_SPLIT = "f AS (SELECT row_id, percent_rank() OVER (PARTITION BY scope ORDER BY md5('42|' || row_id), row_id) AS s FROM scope_dataset_balanced), folds AS (SELECT row_id, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.8 + 0.1 THEN 'validation' ELSE 'test' END AS fold FROM f)"
+_SPLIT = "f AS (SELECT row_id, CAST('0x' || left(md5('42|' || row_id), 8) AS BIGINT) / 4294967296.0 AS s FROM scope_dataset_balanced), folds AS (SELECT row_id, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.8 + 0.1 THEN 'validation' ELSE 'test' END AS fold FROM f)"
 _q = ", ".join(f"power(a{k}, 3) / (power(a0, 3) + power(a1, 3) + power(a2, 3) + power(a3, 3))" for k in range(4))
 _PRED = f"{i.SQL['esg_text']}, pr AS (SELECT CAST((page + block_id) % 4 AS INT) AS truth, CAST(list_position([a0, a1, a2, a3], greatest(a0, a1, a2, a3)) - 1 AS INT) AS pred, [{_q}] AS p, page FROM esg_text)"
 _CLASSES = "t AS (SELECT truth AS label, count(*) AS support, count(*) FILTER (truth = pred) AS tp FROM pr GROUP BY truth), q AS (SELECT pred AS label, count(*) AS predicted FROM pr GROUP BY pred), c AS (SELECT label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted FROM (SELECT unnest([{}]) AS label) LEFT JOIN t USING (label) LEFT JOIN q USING (label)), pc AS (SELECT label, round(coalesce(CASE WHEN predicted > 0 THEN tp / predicted END, 0.0), 6) AS precision, round(coalesce(CASE WHEN support > 0 THEN tp / support END, 0.0), 6) AS recall, round(coalesce(CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) END, 0.0), 6) AS f1, round(coalesce(CASE WHEN predicted + support - tp > 0 THEN tp / (predicted + support - tp) END, 0.0), 6) AS jaccard, support FROM c)"

@@ -169,12 +169,12 @@ def f08_route(s: S, d: str) -> DataFrame:
 
 # Scope.
 def r01_resolve(s: S, d: str) -> DataFrame:
-    r = i.esg_text(s, d).withColumn("r", scope.resolve(C("text"), _P()))
+    r = scope.resolved(i.esg_text(s, d), "text", _P())
     return r.select("page", "block_id", "r.scope", "r.scope_id", F.round("r.confidence", 3).alias("confidence"), "r.scope_source", "r.decision_reason")
 
 
 def r02_table_scope(s: S, d: str) -> DataFrame:
-    r = i.esg_text(s, d).withColumn("r", scope.resolve(C("text"), _P())).select(C("page").alias("table_key"), "r.scope", "r.confidence").filter("table_key % 2 = 0 or scope = 'Other'")
+    r = scope.resolved(i.esg_text(s, d), "text", _P()).select(C("page").alias("table_key"), "r.scope", "r.confidence").filter("table_key % 2 = 0 or scope = 'Other'")
     return scope.table_scope(r).withColumn("confidence", F.round("confidence", 2))
 
 
@@ -194,17 +194,16 @@ def r07_trend(s: S, d: str) -> DataFrame:
 
 
 def a04_scope_shares(s: S, d: str) -> DataFrame:
-    return report.shares(i.esg_text(s, d).withColumn("r", scope.resolve(C("text"), _P())).select("r.scope"), "scope")
+    return report.shares(scope.resolved(i.esg_text(s, d), "text", _P()).select("r.scope"), "scope")
 
 
 def a05_scope_rollup(s: S, d: str) -> DataFrame:
-    return report.totals(i.esg_text(s, d).withColumn("r", scope.resolve(C("text"), _P())).select("page", "r.scope"), "page", "scope")
+    return report.totals(scope.resolved(i.esg_text(s, d), "text", _P()).select("page", "r.scope"), "page", "scope")
 
 
 def q_scope_values(s: S, d: str) -> DataFrame:
     """Emission values by scope from text."""
-    e = i.esg_text(s, d)
-    r = e.withColumn("r", scope.resolve(C("text"), _P())).withColumn("v", t.value_unit(C("text")))
+    r = scope.resolved(i.esg_text(s, d), "text", _P())
     return r.groupBy("r.scope", "v.unit").agg(F.count("*").alias("n"), F.round(F.sum("v.value"), 3).alias("total"))
 
 

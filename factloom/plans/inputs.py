@@ -12,16 +12,16 @@ ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedpric
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """A row per table cell: table_key, row_no, col_no, text. Null rows have no cells."""
-    rows = table(spark, d, "all_tables").select("table_key", F.posexplode("table_data").alias("row_no", "r"))
+    rows = table(spark, d, "all_tables", heavy=True).select("table_key", F.posexplode("table_data").alias("row_no", "r"))
     return rows.select("table_key", "row_no", F.posexplode("r").alias("col_no", "text"))
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "layoutlmv3_layout").select("block_key", "report_id", "page", "block_id", "type", "text", "bbox", "confidence", "num_words")
+    return table(spark, d, "layoutlmv3_layout", heavy=True).select("block_key", "report_id", "page", "block_id", "type", "text", "bbox", "confidence", "num_words")
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "raw_documents").select("raw_id", "document", "standard", F.explode("pages").alias("p"))
+    p = table(spark, d, "raw_documents", heavy=True).select("raw_id", "document", "standard", F.explode("pages").alias("p"))
     return p.select("raw_id", "document", "standard", F.col("p.page").alias("page_no"), F.col("p.text").alias("text"))
 
 
@@ -45,7 +45,7 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
 
 def esg_text(spark: SparkSession, d: str) -> DataFrame:
     """Text of every branch of the scope rules, with class scores, from order lines."""
-    w = table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("int").cast("string")).withColumn("q3", F.expr("lpad(q, 3, '0')"))
+    w = table(spark, d, "lineitem", heavy=True).withColumn("q", F.col("l_quantity").cast("int").cast("string")).withColumn("q3", F.expr("lpad(q, 3, '0')"))
     text = F.expr("""case l_orderkey % 9 when 0 then concat('Scope 1 emissions were ', q, ' tCO2e in 2024')
         when 1 then concat('Scope 1 and Scope 2 combined: 1,', q3, ' tCO2e') when 2 then concat('Purchased electricity ', q, ' MWh')
         when 3 then concat('Office rent rose by ', q, '%') when 4 then 'The weather is nice today' when 5 then 'Fuel and refrigerant use increased'

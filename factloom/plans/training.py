@@ -11,7 +11,7 @@ from factloom.runtime import table
 
 
 def _converted(spark: SparkSession, d: str) -> DataFrame:
-    return quantities.convert(table(spark, d, "layoutlmv3_layout"), table(spark, d, "unit_factors"))
+    return quantities.convert(table(spark, d, "layoutlmv3_layout", heavy=True), table(spark, d, "unit_factors"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

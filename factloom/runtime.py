@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 X = TypeVar("X")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables below `sf_dir`."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """One of the Parquet tables below `sf_dir`. heavy: what follows costs far more than reading, so a table too small to
+    give every core a task is spread by its first column, its key."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0]) if heavy else df
 
 
 def durable(df: DataFrame) -> DataFrame:
