@@ -63,15 +63,15 @@ def sample(df: DataFrame, targets: DataFrame, key: str = "row_id", category: str
     that bucket is ranked.
     """
     goal = targets.select("plan_id", F.col(category).alias("scope"), category_key(F.col(category)).alias("cat"), "target_pct", "min_rows", "sample_pct", "min_quality").dropDuplicates(["plan_id", "cat"])
-    total = df.agg(F.count("*").alias("total"))
+    total = df.count()
     rows = df.select(F.col(key).alias("id"), category_key(F.col(category)).alias("cat"), F.col(score).alias("score")).filter("score is not null and id is not null")
     hit = rows.join(goal.select("plan_id", "cat", "min_quality"), "cat").filter("score >= min_quality")
     hit = hit.withColumn("h", F.md5(F.concat(F.lit(seed + "|"), F.col("id").cast("string"))))
     hit = hit.select("plan_id", "cat", "id", "h", F.substring("h", 1, HEX).alias("b"))
     hist = hit.groupBy("plan_id", "cat", "b").agg(F.count("*").alias("n"))
     have = hist.groupBy("plan_id", "cat").agg(F.sum("n").alias("eligible"))
-    plan = goal.join(have, ["plan_id", "cat"], "left").crossJoin(total).fillna(0, ["eligible"])  # total is one row
-    plan = plan.withColumn("sample_size", F.expr("total * sample_pct div 100")).withColumn("needed", F.greatest(F.col("min_rows").cast("long"), F.expr("(target_pct * sample_size + 99) div 100")))
+    plan = goal.join(have, ["plan_id", "cat"], "left").fillna(0, ["eligible"])
+    plan = plan.withColumn("sample_size", F.expr(f"{total}L * sample_pct div 100")).withColumn("needed", F.greatest(F.col("min_rows").cast("long"), F.expr("(target_pct * sample_size + 99) div 100")))
     found = plan.collect()  # a row per target
     given = {}
     for p in {r.plan_id for r in found}:

@@ -112,7 +112,8 @@ def pages(raw_documents: DataFrame, limits: DataFrame) -> DataFrame:
     A standard without a row in `limits` takes DEFAULT, too. Files without pages (null or empty) have no row.
     """
     own = limits.select(F.col("standard").alias("limit_of"), "max_chars", "overlap_chars")
-    default = own.filter("limit_of = 'DEFAULT'").select(F.col("max_chars").alias("d_max"), F.col("overlap_chars").alias("d_over")).limit(1)
+    default = own.filter("limit_of = 'DEFAULT'").first()  # a small fixed table
+    d_max, d_over = (default.max_chars, default.overlap_chars) if default else (None, None)
     page = raw_documents.select("raw_id", "standard", F.explode("pages").alias("p")).select("raw_id", "standard", F.col("p.page").alias("page_no"), F.col("p.text").alias("text"))
-    page = page.join(own, F.col("standard") == F.col("limit_of"), "left").crossJoin(default)  # default is one row
-    return page.select("raw_id", "page_no", "text", F.coalesce("max_chars", "d_max").alias("max_chars"), F.coalesce("overlap_chars", "d_over").alias("overlap_chars"))
+    page = page.join(own, F.col("standard") == F.col("limit_of"), "left")
+    return page.select("raw_id", "page_no", "text", F.coalesce("max_chars", F.lit(d_max).cast("int")).alias("max_chars"), F.coalesce("overlap_chars", F.lit(d_over).cast("int")).alias("overlap_chars"))
