@@ -378,13 +378,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _WORDS = f"len(CASE WHEN {_norm('text')} = '' THEN [] ELSE string_split({_norm('text')}, ' ') END)"
-_STATS = f"round(avg({_WORDS}), 4) AS mean, min({_WORDS}) AS least, max({_WORDS}) AS most, round(quantile_cont({_WORDS}, 0.25), 4) AS q1, round(quantile_cont({_WORDS}, 0.5), 4) AS median, round(quantile_cont({_WORDS}, 0.75), 4) AS q3"
+_STATS = f"round(avg({_WORDS}), 4) AS mean, CAST(min({_WORDS}) AS INT) AS least, CAST(max({_WORDS}) AS INT) AS most, round(quantile_cont({_WORDS}, 0.25), 4) AS q1, round(quantile_cont({_WORDS}, 0.5), 4) AS median, round(quantile_cont({_WORDS}, 0.75), 4) AS q3"
 _LABELLED = "labelled AS (SELECT row_id, block_id, type, semantic_score, matched_chunk, text, coalesce(scope, 'Other') AS scope FROM label_scope_dataset)"
 _KEEP = f"({_MEANINGFUL} OR coalesce({_has('text', DEFAULT.dataset_words)}, false))"
 
 
 def _uniq(source: str, by: str) -> str:
-    return f"SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY scope, semantic_score DESC NULLS LAST, row_id) AS k FROM {source}) WHERE k = 1"
+    return f"SELECT * EXCLUDE k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY scope, semantic_score DESC NULLS LAST, row_id) AS INT) AS k FROM {source}) WHERE k = 1"
 
 
 _BLOCK = f"regexp_replace(coalesce(block_id, ''), '^{_S}+|{_S}+$', '', 'g')"
@@ -400,11 +400,11 @@ _QUALITY = " + ".join([
 ])
 _CLEANED = f"{_LABELLED}, kept AS (SELECT * FROM labelled WHERE {_KEEP}), ut AS ({_uniq('kept', _LOW)}), ub AS ({_uniq('ut', _BLOCK)}), cleaned AS (SELECT * FROM ub WHERE {_MEANINGFUL}), scored AS (SELECT *, round({_QUALITY}, 6) AS quality_score FROM cleaned)"
 _TARGET = "CASE scope " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DEFAULT.class_targets) + " END"
-_RANKED = f"ranked AS (SELECT row_id, scope, row_number() OVER (PARTITION BY scope ORDER BY quality_score DESC, semantic_score DESC NULLS LAST, row_id) AS class_rank FROM scored), chosen AS (SELECT * FROM ranked WHERE class_rank <= {_TARGET})"
+_RANKED = f"ranked AS (SELECT row_id, scope, CAST(row_number() OVER (PARTITION BY scope ORDER BY quality_score DESC, semantic_score DESC NULLS LAST, row_id) AS INT) AS class_rank FROM scored), chosen AS (SELECT * FROM ranked WHERE class_rank <= {_TARGET})"
 _SPLIT = "f AS (SELECT row_id, CAST('0x' || left(md5('42|' || row_id), 8) AS BIGINT) / 4294967296.0 AS s FROM scope_dataset_balanced), folds AS (SELECT row_id, CASE WHEN s < 0.8 THEN 'train' WHEN s < 0.8 + 0.1 THEN 'validation' ELSE 'test' END AS fold FROM f)"
 _q = ", ".join(f"power(a{k}, 3) / (power(a0, 3) + power(a1, 3) + power(a2, 3) + power(a3, 3))" for k in range(4))
 _PRED = f"{i.SQL['esg_text']}, pr AS (SELECT CAST((page + block_id) % 4 AS INT) AS truth, CAST(list_position([a0, a1, a2, a3], greatest(a0, a1, a2, a3)) - 1 AS INT) AS pred, [{_q}] AS p, page FROM esg_text)"
-_CLASSES = "t AS (SELECT truth AS label, count(*) AS support, count(*) FILTER (truth = pred) AS tp FROM pr GROUP BY truth), q AS (SELECT pred AS label, count(*) AS predicted FROM pr GROUP BY pred), c AS (SELECT label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted FROM (SELECT unnest([{}]) AS label) LEFT JOIN t USING (label) LEFT JOIN q USING (label)), pc AS (SELECT label, round(coalesce(CASE WHEN predicted > 0 THEN tp / predicted END, 0.0), 6) AS precision, round(coalesce(CASE WHEN support > 0 THEN tp / support END, 0.0), 6) AS recall, round(coalesce(CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) END, 0.0), 6) AS f1, round(coalesce(CASE WHEN predicted + support - tp > 0 THEN tp / (predicted + support - tp) END, 0.0), 6) AS jaccard, support FROM c)"
+_CLASSES = "t AS (SELECT truth AS label, count(*) AS support, count(*) FILTER (truth = pred) AS tp FROM pr GROUP BY truth), q AS (SELECT pred AS label, count(*) AS predicted FROM pr GROUP BY pred), c AS (SELECT label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted FROM (SELECT CAST(unnest([{}]) AS BIGINT) AS label) LEFT JOIN t USING (label) LEFT JOIN q USING (label)), pc AS (SELECT label, round(coalesce(CASE WHEN predicted > 0 THEN tp / predicted END, 0.0), 6) AS precision, round(coalesce(CASE WHEN support > 0 THEN tp / support END, 0.0), 6) AS recall, round(coalesce(CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) END, 0.0), 6) AS f1, round(coalesce(CASE WHEN predicted + support - tp > 0 THEN tp / (predicted + support - tp) END, 0.0), 6) AS jaccard, support FROM c)"
 _AVERAGES = ", ".join([f"round(avg({m}), 6) AS macro_{m}" for m in ("precision", "recall", "f1")] + [f"round(sum({m} * support) / sum(support), 6) AS weighted_{m}" for m in ("precision", "recall", "f1")])
 
 
@@ -414,26 +414,26 @@ def oracle_sql() -> dict[str, str]:
     strip = lambda c: f"regexp_replace({c}, '\\.[^.]*$', '')"
     steps = "steps AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', {x})" for k, (n, _, x) in enumerate(STEPS)) + ") AS v(idx, step, weight))"
     top = """sims AS (SELECT q.vec_id AS query_id, c.vec_id AS match_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-        hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, match_id) AS rank FROM sims)"""
+        hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, match_id) AS INT) AS rank FROM sims)"""
     return {
-        "a01_type_counts": "WITH a AS (SELECT report_id, page, lower(coalesce(type, 'text')) AS type, count(*) AS n FROM layoutlmv3_layout WHERE report_id IS NOT NULL GROUP BY ALL) SELECT report_id, page, sum(n) AS n_blocks, list_sort(list(type || ':' || n)) AS types FROM a GROUP BY ALL",
-        "a06_first_words": f"WITH {w}, k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ocr_index) AS k FROM words) SELECT page, count(*) AS n_words, string_agg(text, ' ' ORDER BY k) FILTER (k <= 80) AS first_words FROM k GROUP BY page",
+        "a01_type_counts": "WITH a AS (SELECT report_id, page, lower(coalesce(type, 'text')) AS type, count(*) AS n FROM layoutlmv3_layout WHERE report_id IS NOT NULL GROUP BY ALL) SELECT report_id, page, CAST(sum(n) AS BIGINT) AS n_blocks, list_sort(list(type || ':' || n)) AS types FROM a GROUP BY ALL",
+        "a06_first_words": f"WITH {w}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY ocr_index) AS INT) AS k FROM words) SELECT page, count(*) AS n_words, string_agg(text, ' ' ORDER BY k) FILTER (k <= 80) AS first_words FROM k GROUP BY page",
         "a07_table_summary": "SELECT count(*) AS n_tables, count(DISTINCT CASE WHEN report_id IS NOT NULL AND page IS NOT NULL THEN (report_id, page) END) AS n_pages, CAST(sum(rows * cols) AS BIGINT) AS n_cells, count(*) FILTER (is_esg) AS n_esg FROM all_tables",
         "a08_page_totals": "SELECT report_id, is_esg, grouping(report_id, is_esg) AS level, count(*) AS n FROM all_tables GROUP BY ROLLUP (report_id, is_esg)",
         "a09_page_log": f"WITH {w}, a AS (SELECT page, count(*) FILTER (layout_label = 'table') AS n_table_tokens, count(*) AS n_words FROM words GROUP BY page) SELECT *, CASE WHEN n_table_tokens = 0 THEN 'no_table_tokens' WHEN n_table_tokens < 5 THEN 'few_table_tokens' END AS reason FROM a",
-        "a10_label_shares": f"WITH {w}, c AS (SELECT layout_label, count(*) AS n FROM words GROUP BY 1) SELECT layout_label, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, row_number() OVER (ORDER BY n DESC, layout_label) AS place FROM c",
+        "a10_label_shares": f"WITH {w}, c AS (SELECT layout_label, count(*) AS n FROM words GROUP BY 1) SELECT layout_label, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, CAST(row_number() OVER (ORDER BY n DESC, layout_label) AS INT) AS place FROM c",
         "a11_length_stats": f"WITH {pages} SELECT standard, {_STATS} FROM pages_ GROUP BY standard",
         "a12_histogram": f"WITH {pages} SELECT CASE WHEN length(text) >= 6000 THEN 31 ELSE length(text) // 200 + 1 END AS bin, count(*) AS n FROM pages_ WHERE text IS NOT NULL GROUP BY 1",
-        "a13_value_counts": "WITH c AS (SELECT scope, count(*) AS n FROM label_scope_dataset GROUP BY 1) SELECT scope, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, row_number() OVER (ORDER BY n DESC, scope NULLS FIRST) AS place FROM c",
+        "a13_value_counts": "WITH c AS (SELECT scope, count(*) AS n FROM label_scope_dataset GROUP BY 1) SELECT scope, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, CAST(row_number() OVER (ORDER BY n DESC, scope NULLS FIRST) AS INT) AS place FROM c",
         "a14_standards": "SELECT semantic_standard, count(*) AS n, round(avg(semantic_score), 6) AS mean_score FROM label_scope_dataset GROUP BY 1",
         "a15_page_counts": "SELECT document, CAST(sum(coalesce(len(pages), 0)) AS BIGINT) AS n_pages, count(*) AS n_files, sum(coalesce(len(pages), 0)) <= 0 AS empty FROM raw_documents GROUP BY document",
         "a16_empty_pages": f"WITH {pages} SELECT count(*) AS n_pages, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_empty FROM pages_",
         "a17_runs": "WITH e AS (SELECT event_type, user_id % 5 AS seed, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std FROM e GROUP BY event_type",
         "a18_progress": f"WITH {steps} SELECT idx, step, weight, CAST(trunc(100.0 * sum(weight) OVER (ORDER BY idx) / sum(weight) OVER ()) AS INT) AS pct FROM steps",
         "w18_eta": f"WITH {w} SELECT page, ocr_index, CASE WHEN x0 % 101 > 5 THEN round(y0 / (x0 % 101) * (100 - x0 % 101), 3) END AS eta FROM words",
-        "k03_limits": "SELECT * FROM (SELECT report_id, page, table_key, row_number() OVER (PARTITION BY report_id, page ORDER BY table_key) AS k FROM all_tables WHERE report_id IS NOT NULL) WHERE k <= 20",
-        "k05_ranking": "WITH e AS (SELECT CAST(user_id AS STRING) AS run, round(avg(value), 2) AS score, count(*) AS loss FROM events GROUP BY 1) SELECT *, row_number() OVER (ORDER BY score DESC, loss, run) AS place FROM e",
-        "k06_best_per_class": "SELECT semantic_standard, row_id, semantic_score FROM (SELECT *, row_number() OVER (PARTITION BY semantic_standard ORDER BY semantic_score DESC, row_id) AS k FROM label_scope_dataset WHERE semantic_score IS NOT NULL AND semantic_standard IS NOT NULL) WHERE k = 1",
+        "k03_limits": "SELECT * FROM (SELECT report_id, page, table_key, CAST(row_number() OVER (PARTITION BY report_id, page ORDER BY table_key) AS INT) AS k FROM all_tables WHERE report_id IS NOT NULL) WHERE k <= 20",
+        "k05_ranking": "WITH e AS (SELECT CAST(user_id AS STRING) AS run, round(avg(value), 2) AS score, count(*) AS loss FROM events GROUP BY 1) SELECT *, CAST(row_number() OVER (ORDER BY score DESC, loss, run) AS INT) AS place FROM e",
+        "k06_best_per_class": "SELECT semantic_standard, row_id, semantic_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY semantic_standard ORDER BY semantic_score DESC, row_id) AS INT) AS k FROM label_scope_dataset WHERE semantic_score IS NOT NULL AND semantic_standard IS NOT NULL) WHERE k = 1",
         "k07_hash_sample": "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100",
         "k08_flat_rows": "SELECT source, type, count(*) AS n, count(text) AS n_text FROM (SELECT 'text_block' AS source, type, text FROM layoutlmv3_layout UNION ALL SELECT 'table', 'table', source_label FROM all_tables) GROUP BY ALL",
         "k09_label_diff": "WITH a AS (SELECT DISTINCT type FROM layoutlmv3_layout WHERE type IS NOT NULL), b AS (SELECT unnest([" + ", ".join(map(repr, LABELS)) + "]) AS type) SELECT type, 'unknown' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT type, 'missing' FROM (FROM b EXCEPT FROM a)",
@@ -469,14 +469,14 @@ def oracle_sql() -> dict[str, str]:
         "m09_agreement": f"""WITH {_PRED}, t AS (SELECT truth AS k, count(*) AS t, count(*) FILTER (truth = pred) AS tp FROM pr GROUP BY 1), q AS (SELECT pred AS k, count(*) AS p FROM pr GROUP BY 1), m AS (SELECT coalesce(t, 0) AS t, coalesce(tp, 0) AS tp, coalesce(p, 0) AS p FROM t FULL JOIN q USING (k)),
             s AS (SELECT CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(t) AS DOUBLE) AS s, CAST(sum(t * p) AS DOUBLE) AS x, CAST(sum(t * t) AS DOUBLE) AS tt, CAST(sum(p * p) AS DOUBLE) AS pp, avg(tp / t) FILTER (t > 0) AS bal FROM m)
             SELECT round(c / s, 6) AS accuracy, round(bal, 6) AS balanced_accuracy, round((c / s - x / (s * s)) / (1 - x / (s * s)), 6) AS kappa, round((c * s - x) / (sqrt(s * s - pp) * sqrt(s * s - tt)), 6) AS mcc, round(1 - c / s, 6) AS hamming FROM s""",
-        "m10_throughput": "SELECT type, sum(num_words) AS n_words, round(sum(num_words) / greatest(1, count(*)), 4) AS words_per_block FROM layoutlmv3_layout GROUP BY type",
+        "m10_throughput": "SELECT type, CAST(sum(num_words) AS BIGINT) AS n_words, round(sum(num_words) / greatest(1, count(*)), 4) AS words_per_block FROM layoutlmv3_layout GROUP BY type",
         "m11_pivot": f"WITH {_PRED} SELECT truth, " + ", ".join(f"round(avg(CAST(truth = pred AS DOUBLE)) FILTER (page % 3 = {k}), 6) AS checkpoint_{k}" for k in range(3)) + " FROM pr GROUP BY truth",
         "m12_frame": f"WITH {_PRED} SELECT truth, pred, truth = pred AS correct, count(*) AS n, round(avg(list_max(p)), 6) AS confidence FROM pr GROUP BY ALL",
         "m13_extraction": f"WITH {i.SQL['cells']}, e AS (SELECT * FROM cells WHERE table_key % 9 <> 0), g AS (SELECT table_key, row_no, col_no, CASE WHEN table_key % 10 = 0 THEN '' ELSE text END AS gt FROM cells WHERE table_key % 8 <> 0), j AS (SELECT e.table_key AS ek, g.table_key AS gk, text, gt FROM e FULL JOIN g USING (table_key, row_no, col_no)) SELECT round(count(*) FILTER (ek IS NOT NULL AND gk IS NOT NULL) / count(ek), 6) AS recall, round(count(*) FILTER (ek IS NOT NULL AND gk IS NOT NULL) / count(gk), 6) AS precision, round(avg(CAST(text IS NOT DISTINCT FROM gt AS DOUBLE)) FILTER (ek IS NOT NULL AND gk IS NOT NULL), 6) AS same_text FROM j",
         "z01_event_json": "SELECT event_id, '{\"event_id\":' || event_id || CASE WHEN event_type IS NULL THEN '' ELSE ',\"event_type\":\"' || event_type || '\"' END || '}' AS line FROM events",
         "z02_z03_lines": "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'warning' WHEN 'click' THEN 'progress' ELSE 'info' END AS kind, CASE WHEN event_type IN ('error', 'click') THEN CAST(event_id % 9 AS INT) END AS current FROM events",
-        "z04_last_events": "SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20",
-        "z04_ring_buffer": "SELECT user_id, count(*) AS n, min(event_id) AS oldest, max(event_id) AS newest FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 20 GROUP BY user_id",
+        "z04_last_events": "SELECT * FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS k FROM events) WHERE k <= 20",
+        "z04_ring_buffer": "SELECT user_id, CAST(count(*) AS INT) AS n, min(event_id) AS oldest, max(event_id) AS newest FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS k FROM events) WHERE k <= 20 GROUP BY user_id",
         "z05_after": "SELECT event_id, event_type FROM events WHERE event_id > 500",
         "z06_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
         "z06_sessions": """WITH f AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM f)

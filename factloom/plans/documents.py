@@ -256,7 +256,7 @@ vals AS (SELECT table_key, col_no, year, 'table_header' AS year_source FROM date
 rowsx AS (SELECT m.table_key, m.row_no, max(x) FILTER (col_no = metric_col) AS metric_text, coalesce(max(x) FILTER (col_no = unit_col), '') AS unit FROM marked m JOIN many r ON m.table_key = r.table_key WHERE m.row_no >= r.start GROUP BY ALL),
 good AS (SELECT * FROM rowsx WHERE metric_text IS NOT NULL AND {_metric_ok('metric_text')}),
 numbers AS (SELECT m.table_key, m.row_no, m.col_no, g.metric_text, {_std('m.x')} AS value, g.unit, v.year, v.year_source FROM marked m JOIN vals v ON m.table_key = v.table_key AND m.col_no = v.col_no JOIN good g ON m.table_key = g.table_key AND m.row_no = g.row_no WHERE m.number),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY table_key, col_no, lower(metric_text), year, value ORDER BY row_no) AS k FROM numbers WHERE value IS NOT NULL),
+firsts AS (SELECT *, CAST(row_number() OVER (PARTITION BY table_key, col_no, lower(metric_text), year, value ORDER BY row_no) AS INT) AS k FROM numbers WHERE value IS NOT NULL),
 one AS (SELECT m.table_key, arg_min(x, col_no) AS metric_text, min(col_no) AS metric_col FROM marked m JOIN head2 h ON m.table_key = h.table_key WHERE h.n_rows = 1 AND NOT number AND x <> '' GROUP BY ALL),
 facts AS (SELECT table_key, row_no, col_no, metric_text, value, unit, year, year_source, {_has("(metric_text || ' ' || unit)", DEFAULT.table_words)} AS is_esg FROM firsts WHERE k = 1
   UNION ALL SELECT m.table_key, m.row_no, m.col_no, o.metric_text, {_std('m.x')}, '', NULL, 'single_row_table_report_year', {_has('o.metric_text', DEFAULT.table_words)} FROM marked m JOIN one o ON m.table_key = o.table_key WHERE m.col_no <> o.metric_col AND m.number AND {_metric_ok('o.metric_text')})"""
@@ -286,23 +286,23 @@ def oracle_sql() -> dict[str, str]:
         "j04_adjacent_headers": """, med AS (SELECT page, greatest(1, list_sort(list(y1 - y0))[count(*) // 2 + 1]) AS h FROM words WHERE layout_label = 'table' GROUP BY page),
             hit AS (SELECT r.page, r.ann_idx, r.x0, r.y0, r.x1, r.y1, w.x0 AS wx0, w.y0 AS wy0, w.x1 AS wx1, w.y1 AS wy1 FROM regions r JOIN med USING (page) LEFT JOIN words w ON w.page = r.page AND w.layout_label IN ('figure', 'table_text') AND least(w.x1, r.x1) > greatest(w.x0, r.x0) AND w.y0 <= r.y1 AND greatest(0, r.y0 - w.y1) <= 4 * h)
             SELECT page, ann_idx, min(least(x0, coalesce(wx0, x0))) AS x0, min(least(y0, coalesce(wy0, y0))) AS y0, max(greatest(x1, coalesce(wx1, x1))) AS x1, max(greatest(y1, coalesce(wy1, y1))) AS y1, count(wx0) AS n_headers FROM hit GROUP BY page, ann_idx""",
-        "j05_grid_slot": """, slots AS (SELECT page, y0 AS s0, y0 + 60 AS s1, row_number() OVER (PARTITION BY page ORDER BY (y0 + y0 + 60) / 2, y0) - 1 AS slot FROM regions WHERE label = 'table'),
+        "j05_grid_slot": """, slots AS (SELECT page, y0 AS s0, y0 + 60 AS s1, CAST(row_number() OVER (PARTITION BY page ORDER BY (y0 + y0 + 60) / 2, y0) - 1 AS INT) AS slot FROM regions WHERE label = 'table'),
             pairs AS (SELECT w.page, w.ocr_index, slot, greatest(0, least(y1, s1) - greatest(y0, s0)) / greatest(1.0, y1 - y0) AS score, abs((y0 + y1) / 2 - (s0 + s1) / 2) AS away, greatest(1.0, y1 - y0) AS size, row_number() OVER (PARTITION BY w.page, ocr_index ORDER BY greatest(0, least(y1, s1) - greatest(y0, s0)) / greatest(1.0, y1 - y0) DESC, abs((y0 + y1) / 2 - (s0 + s1) / 2), slot) AS k FROM words w JOIN slots s ON w.page = s.page)
             SELECT page, ocr_index, slot FROM pairs WHERE k = 1 AND (score >= 0.2 OR away <= size)""",
         "j06_segments": """, sizes AS (SELECT table_key, max(row_no) + 1 AS n, table_key // 3 AS group_id FROM cells GROUP BY table_key), offs AS (SELECT table_key, group_id, sum(n) OVER (PARTITION BY group_id ORDER BY table_key % 3) - n AS o FROM sizes)
             SELECT group_id, CAST(row_no + o AS INT) AS row_no, col_no, text FROM cells JOIN offs USING (table_key)""",
-        "w01_reading_order": f"SELECT page, ocr_index, row_number() OVER (PARTITION BY page ORDER BY round_even({cy} / 8, 0), x0, ocr_index) - 1 AS reading_no FROM words",
+        "w01_reading_order": f"SELECT page, ocr_index, CAST(row_number() OVER (PARTITION BY page ORDER BY round_even({cy} / 8, 0), x0, ocr_index) - 1 AS INT) AS reading_no FROM words",
         "w02_vertical_groups": f""", med AS (SELECT page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS h FROM words GROUP BY page), f AS (SELECT page, ocr_index, {cy} AS cy, CASE WHEN {cy} - lag({cy}) OVER (PARTITION BY page ORDER BY {cy}, ocr_index) > greatest(3.0 * h, 20) THEN 1 ELSE 0 END AS new FROM words JOIN med USING (page))
-            SELECT page, ocr_index, sum(new) OVER (PARTITION BY page ORDER BY cy, ocr_index) AS v_group FROM f""",
+            SELECT page, ocr_index, CAST(sum(new) OVER (PARTITION BY page ORDER BY cy, ocr_index) AS BIGINT) AS v_group FROM f""",
         "w03_column_groups": f""", f AS (SELECT page, ocr_index, {cx} AS cx, CASE WHEN x0 - max(x1) OVER (PARTITION BY page ORDER BY {cx}, ocr_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 45 THEN 1 ELSE 0 END AS new FROM words)
-            SELECT page, ocr_index, sum(new) OVER (PARTITION BY page ORDER BY cx, ocr_index) AS h_group FROM f""",
+            SELECT page, ocr_index, CAST(sum(new) OVER (PARTITION BY page ORDER BY cx, ocr_index) AS BIGINT) AS h_group FROM f""",
         "w04_virtual_panels": f""", f AS (SELECT *, x0 - max(x1) OVER o AS gap, (x0 + max(x1) OVER o) / 2 AS mid FROM words WHERE ocr_index < 24 WINDOW o AS (PARTITION BY page ORDER BY x0, x1, ocr_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
             seams AS (SELECT page, max(struct_pack(gap := gap, mid := mid)) AS s FROM f WHERE gap >= 0.04 * 960 AND mid BETWEEN 0.4 * 960 AND 0.6 * 960 GROUP BY page),
             sided AS (SELECT f.page, ocr_index, {cx} AS cx, s.mid AS seam, count(*) FILTER ({cx} < s.mid) OVER (PARTITION BY f.page) AS l, count(*) FILTER ({cx} >= s.mid) OVER (PARTITION BY f.page) AS r FROM f LEFT JOIN seams USING (page))
             SELECT page, ocr_index, CASE WHEN seam IS NOT NULL AND l >= 5 AND r >= 5 AND cx >= seam THEN 1 ELSE 0 END AS panel FROM sided""",
         "w07_continuations": """, f AS (SELECT *, CASE WHEN x0 >= 350 THEN 1 ELSE 0 END AS panel, label = 'table' AS hh FROM regions),
             g AS (SELECT page, ann_idx, panel, y0, x0, CASE WHEN lag(panel) OVER o <> panel AND lag(y1) OVER o >= 900 AND y0 <= 360 AND lag(hh) OVER o AND NOT hh AND abs((x1 - x0) - (lag(x1) OVER o - lag(x0) OVER o)) / 600.0 <= 0.25 THEN 0 ELSE 1 END AS new FROM f WINDOW o AS (PARTITION BY page ORDER BY panel, y0, x0))
-            SELECT page, ann_idx, sum(new) OVER (PARTITION BY page ORDER BY panel, y0, x0 ROWS UNBOUNDED PRECEDING) - 1 AS region_group FROM g""",
+            SELECT page, ann_idx, CAST(sum(new) OVER (PARTITION BY page ORDER BY panel, y0, x0 ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS region_group FROM g""",
         "w08_region_headers": f"SELECT table_key, count(*) FILTER (regexp_matches(text, '(19|20)\\d{{2}}')) >= 2 OR coalesce(bool_or({_has('text', tuple(dict.fromkeys(DEFAULT.header_words + DEFAULT.metric_words)))}), false) AS has_header FROM cells WHERE row_no < 2 GROUP BY table_key",
         "w10_text_columns": """, flow AS (SELECT *, row_number() OVER o AS n, lead(x0) OVER o AS nxt, max(x1) OVER (PARTITION BY page ORDER BY x0, ocr_index ROWS UNBOUNDED PRECEDING) AS rgt FROM words WHERE layout_label IN ('text', 'header', 'toc', 'figure') WINDOW o AS (PARTITION BY page ORDER BY x0, ocr_index)),
             cuts AS (SELECT page, max(struct_pack(gap := nxt - x0, k := -n, at := (x0 + nxt) / 2)) AS a, max(struct_pack(gap := nxt - rgt, k := -n, at := (rgt + nxt) / 2)) AS b, count(*) + 1 AS nf FROM flow WHERE nxt IS NOT NULL GROUP BY page),
@@ -310,15 +310,15 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT *, CASE WHEN nw < 10 OR nf < 8 THEN NULL WHEN a.gap >= 50 AND al >= 3 AND ar >= 3 THEN a.at WHEN b.gap >= 50 AND bl >= 3 AND br >= 3 THEN b.at END AS cut FROM j)
             SELECT page, ocr_index, CASE WHEN coalesce(x0 >= cut, false) THEN 1 ELSE 0 END AS text_column FROM c""",
         "w14_chunk_starts": "SELECT page, n, unnest(CASE WHEN n <= 60 THEN [CAST(0 AS BIGINT)] ELSE list_distinct(list_concat(range(0, n - 59, 30), [n - 60])) END) AS chunk_start FROM (SELECT page, count(*) AS n FROM words GROUP BY page)",
-        "w15_overlap_vote": f""", l AS (SELECT page, block_id % 30 AS word_no, block_id // 30 AS chunk, unnest(range(4)) AS cls, unnest([{', '.join(_p)}]) AS p FROM esg_text), a AS (SELECT page, word_no, chunk, cls, avg(p) AS p FROM l GROUP BY ALL), b AS (SELECT page, word_no, cls, avg(p) AS p FROM a GROUP BY ALL),
-            k AS (SELECT *, row_number() OVER (PARTITION BY page, word_no ORDER BY round(p, 9) DESC, cls) AS k FROM b) SELECT page, word_no, cls, round(p, 6) AS score FROM k WHERE k = 1""",
-        "w16_majority": ", a AS (SELECT page, y0, layout_label, count(*) AS n, min(ocr_index) AS f FROM words GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY page, y0 ORDER BY n DESC, f) AS k FROM a) SELECT page, y0, layout_label, n AS votes FROM k WHERE k = 1",
+        "w15_overlap_vote": f""", l AS (SELECT page, block_id % 30 AS word_no, block_id // 30 AS chunk, CAST(unnest(range(4)) AS INT) AS cls, unnest([{', '.join(_p)}]) AS p FROM esg_text), a AS (SELECT page, word_no, chunk, cls, avg(p) AS p FROM l GROUP BY ALL), b AS (SELECT page, word_no, cls, avg(p) AS p FROM a GROUP BY ALL),
+            k AS (SELECT *, CAST(row_number() OVER (PARTITION BY page, word_no ORDER BY round(p, 9) DESC, cls) AS INT) AS k FROM b) SELECT page, word_no, cls, round(p, 6) AS score FROM k WHERE k = 1""",
+        "w16_majority": ", a AS (SELECT page, y0, layout_label, count(*) AS n, min(ocr_index) AS f FROM words GROUP BY ALL), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY page, y0 ORDER BY n DESC, f) AS INT) AS k FROM a) SELECT page, y0, layout_label, n AS votes FROM k WHERE k = 1",
         "t02_assemble": "SELECT page AS table_key, CAST(y0 // 100 AS INT) AS row_no, CAST(x0 // 200 AS INT) AS col_no, string_agg(text, ' ' ORDER BY round_even((y0 + y1) / 2 / 8, 0), x0, ocr_index) AS text FROM words GROUP BY ALL",
-        "t03_densify": ", f AS (SELECT table_key, r AS row_no, unnest(range(cols + 1)) AS col_no FROM (SELECT table_key, cols, unnest(range(rows + 1)) AS r FROM all_tables)) SELECT table_key, row_no, col_no, coalesce(text, '') AS text FROM f LEFT JOIN cells USING (table_key, row_no, col_no)",
+        "t03_densify": ", f AS (SELECT table_key, CAST(r AS INT) AS row_no, CAST(unnest(range(cols + 1)) AS INT) AS col_no FROM (SELECT table_key, cols, unnest(range(rows + 1)) AS r FROM all_tables)) SELECT table_key, row_no, col_no, coalesce(text, '') AS text FROM f LEFT JOIN cells USING (table_key, row_no, col_no)",
         "t04_clean": f""", c AS (SELECT table_key, row_no, col_no, coalesce(text, '') AS text FROM cells),
             r AS (SELECT table_key, row_no, count(*) FILTER (regexp_matches(text, '\\S')) AS n, bool_or({numeric}) AS num, bool_or(regexp_matches(text, '\\S') AND len(string_split({_norm('text')}, ' ')) >= 15 AND len(list_filter(string_split({_norm('text')}, ' '), lambda q: regexp_matches(q, '\\d'))) <= 2 AND length(regexp_replace(text, '[^,.;]', '', 'g')) >= 2) AS par, max(col_no) FILTER (regexp_matches(text, '\\S')) AS last FROM c GROUP BY ALL),
-            k AS (SELECT table_key, row_no, row_number() OVER (PARTITION BY table_key ORDER BY row_no) - 1 AS nr, max(last) OVER (PARTITION BY table_key) AS m FROM r WHERE n > 0 AND NOT (n = 1 AND NOT num AND par)),
-            f AS (SELECT table_key, row_no, nr, unnest(range(m + 1)) AS col_no FROM k) SELECT table_key, nr AS row_no, col_no, coalesce(text, '') AS text FROM f LEFT JOIN c USING (table_key, row_no, col_no)""",
+            k AS (SELECT table_key, row_no, CAST(row_number() OVER (PARTITION BY table_key ORDER BY row_no) - 1 AS INT) AS nr, max(last) OVER (PARTITION BY table_key) AS m FROM r WHERE n > 0 AND NOT (n = 1 AND NOT num AND par)),
+            f AS (SELECT table_key, row_no, nr, CAST(unnest(range(m + 1)) AS INT) AS col_no FROM k) SELECT table_key, nr AS row_no, col_no, coalesce(text, '') AS text FROM f LEFT JOIN c USING (table_key, row_no, col_no)""",
         "t07_header_rows": f", {_MARKED} SELECT table_key, header_row, key_row, n_rows FROM head2",
         "t08_header_columns": f", {_MARKED} SELECT table_key, metric_col, unit_col, n_years FROM roles",
         "t10_facts": f", {_FACTS} SELECT *, table_key || '_' || row_no || '_' || col_no AS metric_id FROM facts WHERE value IS NOT NULL",
@@ -330,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "r02_table_scope": f""", {_RESOLVED}, v AS (SELECT page AS table_key, CASE WHEN scope <> 'Other' THEN scope END AS s, CASE WHEN scope <> 'Other' THEN confidence END AS c FROM resolved WHERE page % 2 = 0 OR scope = 'Other'),
             a AS (SELECT table_key, count(DISTINCT s) AS n, min(s) AS one, min(c) AS low, avg(c) AS mean FROM v GROUP BY table_key)
             SELECT table_key, CASE WHEN n > 1 THEN 'Mixed' WHEN n = 1 THEN one ELSE 'Other' END AS scope, round(round(CASE WHEN n > 1 THEN low WHEN n = 1 THEN mean ELSE 0.0 END, 3), 2) AS confidence, CASE WHEN n > 1 THEN 'row_consensus_mixed' WHEN n = 1 THEN 'row_consensus' ELSE 'unresolved' END AS scope_source FROM a""",
-        "a04_scope_shares": f", {_RESOLVED}, c AS (SELECT scope, count(*) AS n FROM resolved GROUP BY scope) SELECT scope, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, row_number() OVER (ORDER BY n DESC, scope) AS place FROM c",
+        "a04_scope_shares": f", {_RESOLVED}, c AS (SELECT scope, count(*) AS n FROM resolved GROUP BY scope) SELECT scope, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, CAST(row_number() OVER (ORDER BY n DESC, scope) AS INT) AS place FROM c",
         "a05_scope_rollup": f", {_RESOLVED} SELECT page, scope, grouping(page, scope) AS level, count(*) AS n FROM resolved GROUP BY ROLLUP (page, scope)",
         "q_scope_values": f", {_RESOLVED} SELECT scope, unit, count(*) AS n, round(sum(value), 3) AS total FROM resolved GROUP BY ALL",
         "r04_activity_scope": f"SELECT block_key, {_activity('text')} AS scope, coalesce({_has('text', scope.CARBON_SIGNALS)} AND regexp_matches(text, '\\d'), false) AS candidate FROM blocks",
@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {name: "WITH " + ", ".join(i.SQL[n] for n in out[name].split()) + " " + b for name, b in body.items()}
     return sql | {
         "r05_merge_sources": """WITH r AS (SELECT site_code, indicator, year, CASE WHEN regexp_matches(type, '(?i)table') THEN 'table' WHEN regexp_matches(type, '(?i)chart|figure') THEN 'chart' ELSE 'text' END AS source, value FROM layoutlmv3_layout WHERE site_code IS NOT NULL AND value IS NOT NULL),
-            k AS (SELECT *, row_number() OVER (PARTITION BY site_code, indicator, year ORDER BY CASE source WHEN 'table' THEN 1 WHEN 'chart' THEN 2 ELSE 3 END, value) AS k FROM r),
+            k AS (SELECT *, CAST(row_number() OVER (PARTITION BY site_code, indicator, year ORDER BY CASE source WHEN 'table' THEN 1 WHEN 'chart' THEN 2 ELSE 3 END, value) AS INT) AS k FROM r),
             a AS (SELECT site_code, indicator, year, count(*) AS n_support, list_sort(list(DISTINCT source)) AS sources, max(value) - min(value) > 1e-9 AS conflict FROM r GROUP BY ALL)
             SELECT site_code, indicator, year, value, source, n_support, sources, conflict FROM a JOIN (SELECT * FROM k WHERE k = 1) USING (site_code, indicator, year)""",
         "r07_trend": """WITH p AS (SELECT indicator, year, avg(value) AS value FROM layoutlmv3_layout WHERE value IS NOT NULL AND indicator IS NOT NULL GROUP BY ALL),

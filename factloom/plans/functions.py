@@ -171,5 +171,5 @@ def oracle_sql() -> dict[str, str]:
         "o13_out_of_bounds": f"WITH {SQL['words']} SELECT page, count(*) FILTER (x1 > 900 OR y1 > 1200) AS n_out, round(100.0 * count(*) FILTER (x1 > 900 OR y1 > 1200) / count(*), 4) AS pct_out FROM words GROUP BY page",
         "x18_x19_names": r"""SELECT report_id, lower(regexp_replace(regexp_replace(regexp_replace(f, '(?s)[\s\-_]*20\d{2}.*$', ''), '[^\p{L}\p{Nd}]+', '_', 'g'), '^_+|_+$', '', 'g')) AS company_key, f AS clean
             FROM (SELECT report_id, regexp_replace(regexp_replace(path, '^.*/', ''), '\.pdf$', '') AS f FROM report_files)""",
-        "x25_vectors": "SELECT vec_id, 1.0 AS norm, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS mean_sum FROM embeddings",
+        "x25_vectors": "SELECT vec_id, CAST(1.0 AS DOUBLE) AS norm, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS mean_sum FROM embeddings",
     }

@@ -61,18 +61,18 @@ BUILD = {"cells": cells, "blocks": blocks, "pages": pages, "words": words, "regi
 
 _ORDER = ", ".join(ORDER)
 SQL = {
-    "cells": """cells AS (SELECT table_key, row_no, unnest(range(len(rw))) AS col_no, unnest(rw) AS text FROM
-        (SELECT table_key, unnest(range(len(table_data))) AS row_no, unnest(table_data) AS rw FROM all_tables))""",
+    "cells": """cells AS (SELECT table_key, row_no, CAST(unnest(range(len(rw))) AS INT) AS col_no, unnest(rw) AS text FROM
+        (SELECT table_key, CAST(unnest(range(len(table_data))) AS INT) AS row_no, unnest(table_data) AS rw FROM all_tables))""",
     "blocks": "blocks AS (SELECT block_key, report_id, page, block_id, type, text, bbox, confidence, num_words FROM layoutlmv3_layout)",
     "pages": "pages_ AS (SELECT raw_id, document, standard, p.page AS page_no, p.text AS text FROM (SELECT raw_id, document, standard, unnest(pages) AS p FROM raw_documents))",
-    "words": f"""words AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY {_ORDER}) - 1 AS ocr_index, x0, y0, x0 + 20 + w AS x1, y0 + 12 + l_linenumber AS y1,
+    "words": f"""words AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY {_ORDER}) - 1 AS INT) AS ocr_index, x0, y0, x0 + 20 + w AS x1, y0 + 12 + l_linenumber AS y1,
         CASE l_partkey % 6 WHEN 0 THEN 'figure' WHEN 1 THEN 'text' WHEN 2 THEN 'table_text' WHEN 3 THEN 'header' ELSE 'table' END AS layout_label,
         CASE WHEN l_suppkey % 3 = 0 THEN CAST(w * 1000 AS STRING) ELSE 'w' || l_partkey END AS text
         FROM (SELECT *, CAST(floor(l_orderkey / 16) AS BIGINT) AS page, (l_partkey * 37) % 900 AS x0, (l_suppkey * 91 + l_linenumber * 13) % 1200 AS y0, CAST(l_quantity AS INT) AS w FROM lineitem))""",
     "regions": """regions AS (SELECT CAST(floor(o_orderkey / 16) AS BIGINT) AS page, o_orderkey AS ann_idx,
         CASE o_custkey % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'text' WHEN 2 THEN 'figure' ELSE 'table_text' END AS label, (o_custkey * 53) % 700 AS x0, (o_orderkey * 71) % 900 AS y0,
         (o_custkey * 53) % 700 + 100 + o_orderkey % 200 AS x1, (o_orderkey * 71) % 900 + 100 + o_custkey % 300 AS y1 FROM orders)""",
-    "esg_text": f"""esg_text AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY {_ORDER}) - 1 AS block_id,
+    "esg_text": f"""esg_text AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY {_ORDER}) - 1 AS INT) AS block_id,
         CASE l_orderkey % 9 WHEN 0 THEN 'Scope 1 emissions were ' || q || ' tCO2e in 2024' WHEN 1 THEN 'Scope 1 and Scope 2 combined: 1,' || q3 || ' tCO2e'
         WHEN 2 THEN 'Purchased electricity ' || q || ' MWh' WHEN 3 THEN 'Office rent rose by ' || q || '%' WHEN 4 THEN 'The weather is nice today'
         WHEN 5 THEN 'Fuel and refrigerant use increased' WHEN 6 THEN 'SCOPE 3 business travel' WHEN 7 THEN 'ok' ELSE 'Heat ' || q || '.5 GJ' END AS text,
