@@ -51,7 +51,7 @@ def clean_number(c: Column) -> Column:
 
 def is_numeric(c: Column) -> Column:
     """X-03: some blank-separated part is digits once cleaned, has two digits or more and at most one point."""
-    ok = lambda p: clean_number(p).rlike(DIGITS) & (F.length(F.regexp_replace(p, r"\D", "")) >= 2) & (F.length(F.regexp_replace(p, r"[^.]", "")) <= 1)
+    ok = lambda p: clean_number(p).rlike(DIGITS) & (F.length(F.regexp_replace(p, r"\D+", "")) >= 2) & (F.length(F.regexp_replace(p, r"[^.]+", "")) <= 1)
     return F.coalesce(F.exists(F.split(py_trim(c), r"(?U)\s+"), ok), F.lit(False))
 
 

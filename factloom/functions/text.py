@@ -60,7 +60,7 @@ def meaningful(c: Column, config: Config = DEFAULT) -> Column:
     """F-10: text worth labelling: three characters, two letters, no page furniture, no broken OCR."""
     t = F.lower(normalize_text(c))
     words = F.size(F.split(t, " "))
-    return (F.length(t) >= 3) & (F.length(F.regexp_replace(t, r"\P{L}", "")) >= 2) & ~t.rlike("^[^a-z0-9]+$") & ~t.rlike("|".join(config.noise_patterns)) & ~t.rlike(r"([a-z]{1,2}\s){6,}") & ~((F.length(F.regexp_replace(t, r"[^.]", "")) > 8) & (words < 5))
+    return (F.length(t) >= 3) & (F.length(F.regexp_replace(t, r"\P{L}+", "")) >= 2) & ~t.rlike("^[^a-z0-9]+$") & ~t.rlike("|".join(config.noise_patterns)) & ~t.rlike(r"([a-z]{1,2}\s){6,}") & ~((F.length(F.regexp_replace(t, r"[^.]+", "")) > 8) & (words < 5))
 
 
 def words_of(c: Column) -> Column:
@@ -72,14 +72,14 @@ def words_of(c: Column) -> Column:
 def paragraph_cell(c: Column) -> Column:
     """F-11: 15 words or more, at most two of them with digits, two or more of the marks , . ;"""
     w = words_of(c)
-    return (F.size(w) >= 15) & (F.size(F.filter(w, lambda x: x.rlike(r"\d"))) <= 2) & (F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^,.;]", "")) >= 2)
+    return (F.size(w) >= 15) & (F.size(F.filter(w, lambda x: x.rlike(r"\d"))) <= 2) & (F.length(F.regexp_replace(F.coalesce(c, F.lit("")), "[^,.;]+", "")) >= 2)
 
 
 def is_heading(c: Column, config: Config = DEFAULT) -> Column:
     """F-12: a section word, or more than 80 per cent of the letters are capitals."""
     t = normalize_text(c)
-    letters = F.length(F.regexp_replace(t, r"\P{L}", ""))
-    capitals = F.length(F.regexp_replace(t, r"\P{Lu}", ""))
+    letters = F.length(F.regexp_replace(t, r"\P{L}+", ""))
+    capitals = F.length(F.regexp_replace(t, r"\P{Lu}+", ""))
     return (t != "") & (contains_any(t, config.section_words) | false(F.try_divide(capitals, letters) > 0.8))
 
 
