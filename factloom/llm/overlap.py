@@ -124,7 +124,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(df: DataFrame, key: str, text: str, split: str) -> DataFrame:
     """A row per record that can match: id, train or not, class (128-bit hash of the canonical text), canon, digits."""
-    canon = df.select(F.col(key).alias("id"), (F.col(split) == "train").alias("train"), canonical(F.col(text)).alias("canon"), F.regexp_replace(F.col(text), "[^0-9]", "").alias("digits"))
+    canon = df.select(F.col(key).alias("id"), (F.col(split) == "train").alias("train"), canonical(F.col(text)).alias("canon"), F.regexp_replace(F.col(text), "[^0-9]+", "").alias("digits"))
     canon = canon.filter((F.col("canon") != "") & F.col("train").isNotNull() & F.col("id").isNotNull())
     return canon.withColumn("cls", F.unhex(F.md5(F.col("canon"))))
 
@@ -141,8 +141,11 @@ def pairs(df: DataFrame, key: str = "row_id", text: str = "text", split: str = "
     rows = classes(df, key, text, split)
     members = durable(rows.select("id", "train", "cls"))
     own = durable(rows.groupBy("cls").agg(F.any_value("canon").alias("canon"), F.any_value("digits").alias("digits"), F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval")))
-    index = own.filter("n_train > 0").select("cls", "canon", "digits").mapInArrow(_keys(False), "k long, cls binary")
-    probe = own.filter("n_eval > 0").select("cls", "canon", "digits").mapInArrow(_keys(True), "k long, cls binary")
+    # Texts whose digits stand on one side only match nothing; those without digits go on as they are.
+    shared = own.filter("digits <> ''").groupBy("digits").agg(F.sum("n_train").alias("t"), F.sum("n_eval").alias("e")).filter("t > 0 and e > 0").select("digits")
+    able = own.filter("digits = ''").unionByName(own.filter("digits <> ''").join(shared, "digits", "left_semi"))
+    index = able.filter("n_train > 0").select("cls", "canon", "digits").mapInArrow(_keys(False), "k long, cls binary")
+    probe = able.filter("n_eval > 0").select("cls", "canon", "digits").mapInArrow(_keys(True), "k long, cls binary")
     hit = index.withColumnRenamed("cls", "cls_a").join(probe.withColumnRenamed("cls", "cls_b"), "k").filter("cls_a <> cls_b").select("cls_a", "cls_b").distinct()
     texts = own.select("cls", "canon")
     hit = hit.join(texts.withColumnsRenamed({"cls": "cls_a", "canon": "canon_a"}), "cls_a").join(texts.withColumnsRenamed({"cls": "cls_b", "canon": "canon_b"}), "cls_b")
