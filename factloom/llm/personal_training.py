@@ -60,6 +60,7 @@ class Batches:
         index = {t: k for k, t in enumerate(TAGS)}
         for _ in range(self.total):
             x, f, y = (np.zeros((T, self.size), np.int32) for _ in range(3))
+            listed = [{w for w in sorted(names) if self.rng.random() < 0.65} for names in (self.given, self.family)]  # lexicons are incomplete
             for col in range(self.size):
                 text, spans = self.rng.choice(self.samples)
                 if self.rng.random() < 0.5:
@@ -67,7 +68,7 @@ class Batches:
                 begin = self.rng.randrange(max(1, len(text) - T // 2))
                 part = text[begin : begin + T]
                 x[: len(part), col] = [self.tagger.chars.get(c, 1) for c in part]
-                f[: len(part), col] = personal.flags_of(text, self.given, self.family)[begin : begin + T]
+                f[: len(part), col] = personal.flags_of(text, *listed)[begin : begin + T]
                 for a, b, k in spans:
                     a, b = a - begin, b - begin
                     if b <= 0 or a >= T:
