@@ -20,8 +20,9 @@ HOT = 20_000
 
 
 def canonical(c: Column) -> Column:
-    """Words in lower case, one space apart: marks between digits and apostrophes vanish, other signs part words."""
-    joined = F.regexp_replace(F.lower(c), r"[.,](?=\p{Nd})(?<=\p{Nd}[.,])|['’`]", "")
+    """Words in lower case, one space apart: marks between digits, hyphens inside words and apostrophes vanish, other
+    signs part words."""
+    joined = F.regexp_replace(F.lower(c), r"[.,](?=\p{Nd})(?<=\p{Nd}[.,])|['’`]|-(?=[\p{L}\p{N}])(?<=[\p{L}\p{N}]-)", "")
     return F.trim(F.regexp_replace(joined, r"[^a-z0-9\p{L}\p{N}\p{M}]+", " "))
 
 

@@ -158,7 +158,11 @@ grouped AS (SELECT row_id, CASE WHEN block <> '' AND t <> '' THEN min(row_id) OV
 
 
 def oracle_sql() -> dict[str, str]:
-    canon = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[''’`]', '', 'g'), '(\p{Nd})[.,](\p{Nd})', '\1\2', 'g'), '(\p{Nd})[.,](\p{Nd})', '\1\2', 'g'), '[^\p{L}\p{N}\p{M}]+', ' ', 'g'))"
+    inner, hyphen = r"'(\p{Nd})[.,](\p{Nd})', '\1\2', 'g'", r"'([\p{L}\p{N}])-([\p{L}\p{N}])', '\1\2', 'g'"
+    canon = "regexp_replace(lower(text), '[''’`]', '', 'g')"
+    for step in (inner, inner, hyphen, hyphen):  # twice each, as matches may share a character
+        canon = f"regexp_replace({canon}, {step})"
+    canon = f"trim(regexp_replace({canon}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
     return {
         "p1_found": f"WITH {_PLANS} SELECT plan_id, scope FROM plan WHERE eligible < needed",
         "p1_report": f"""WITH {_PLANS}, got AS (SELECT plan_id, scope, count(*) AS seats FROM kept GROUP BY ALL)
