@@ -20,12 +20,13 @@ SHARE = 100_000
 LEAST = 3  # occurrences, for small tables
 CLEARLY = 10  # a correction must be so many times as frequent as the word with a sign or digit that it corrects
 LONGEST = 60  # characters; longer tokens are no words
-FAR = 400  # the same for a word of letters only, which may well be a word of its own
+FAR = 400  # the same for a word of letters only, which may well be a word of its own; fewer take the evidence of its neighbours
+ALIKE = 1 / 3  # share of a word's places with both neighbours as around its correction: misreadings have 0.4 and more, words 0.02
 
 # What a scanner reads -> what may stand on the page.
 CONFUSED = {
     "0": "oôơóòõọỏốồổỗộớờởỡợ", "1": "liíìỉĩịrt", "5": "s", "6": "bgó", "8": "bg", "9": "gqđ", "2": "z", "3": "e", "4": "aá", "7": "t",
-    "+": "t", "|": "li", "!": "li", "$": "s", "€": "e", "@": "a", "c": "e", "e": "c", "l": "ti", "i": "l", "t": "l", "f": "t", "v": "y", "u": "v", "n": "u", "a": "o", "o": "a", "h": "b", "q": "g",
+    "+": "t", "|": "li", "!": "li", "$": "s", "€": "e", "@": "a", "c": "e", "e": "c", "l": "tiíìỉĩị", "i": "l", "t": "l", "f": "t", "v": "y", "u": "v", "n": "u", "a": "o", "o": "a", "h": "b", "q": "g",
 }
 CONFUSED_LONG = {"rn": "m", "m": "rn", "vv": "w", "cl": "d", "li": "h", "ii": "u", "nn": "m", "ri": "n", "in": "m", "lc": "k", "n": "ri", "rm": "nn", "d": "cl", "h": "li", "w": "vv"}
 DIGITS = {"o": "0", "l": "1", "i": "1", "|": "1", "!": "1", "s": "5", "b": "8", "g": "9", "q": "9", "z": "2"}
@@ -328,10 +329,14 @@ def paragraphs(text: str) -> str:
     return "\n\n".join(x for x in out[::-1] if x)
 
 
+def texts_of(layout: DataFrame, tables: DataFrame) -> DataFrame:
+    """(text) of all blocks, and of all tables with a line for each cell."""
+    cells = tables.select(F.array_join(F.flatten(F.transform(F.coalesce("table_data", F.array()), lambda r: F.coalesce(r, F.array()))), "\n").alias("text"))
+    return layout.select("text").unionByName(cells)
+
+
 def tokens_of(layout: DataFrame, tables: DataFrame) -> DataFrame:
     """(word, n) over all block texts and cells: lower-case words without edge signs, without numbers."""
-    cells = tables.select(F.array_join(F.flatten(F.transform(F.coalesce("table_data", F.array()), lambda r: F.coalesce(r, F.array()))), "\n").alias("text"))
-    texts = layout.select("text").unionByName(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw: Counter[str] = Counter()
@@ -355,7 +360,7 @@ def tokens_of(layout: DataFrame, tables: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts_of(layout, tables).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(layout: DataFrame, tables: DataFrame) -> dict[str, int]:
@@ -366,18 +371,70 @@ def lexicon(layout: DataFrame, tables: DataFrame) -> dict[str, int]:
     return {r.word: r.n for r in kept.select("word", "n").collect()}
 
 
-def clean_lexicon(words: dict[str, int]) -> dict[str, int]:
-    """Without words that one confusion turns into another CLEARLY more frequent word: misreadings that recur."""
-    known = Decoder(words)
-    out = {}
+def doubtful(words: dict[str, int]) -> tuple[set[str], list[tuple[str, str]]]:
+    """Words that one confusion turns into a word so much more frequent that they are misreadings that recur, and pairs
+    (word, correction) that their neighbours have to tell: the correction is CLEARLY more frequent, but not FAR more."""
+    known, sure, open_ = Decoder(words), set(), []
     for w, n in words.items():
         signs = any(c.isdigit() or c in "+|!$€@" for c in w) and any(c.isalpha() for c in w)
-        if not FINE.fullmatch(w) and (signs or len(w) >= 3 and w.isascii()):
-            most = CLEARLY if signs else FAR
-            if any(end == len(w) and edits and words[x] > most * n for end, x, edits, _ in known.arcs(w, 0, 2 if signs else 1)):
-                continue
-        out[w] = n
-    return out
+        if FINE.fullmatch(w) or not signs and len(w) < 3:
+            continue
+        to = {x: words[x] for end, x, edits, _ in known.arcs(w, 0, 2 if signs else 1) if end == len(w) and edits and words[x] > CLEARLY * n}
+        if signs and to or any(m > FAR * n for m in to.values()) and w.isascii():
+            sure.add(w)
+        else:
+            open_ += [(w, x) for x in to]
+    return sure, open_
+
+
+def alike(layout: DataFrame, tables: DataFrame, words: dict[str, int], pairs: list[tuple[str, str]]) -> set[str]:
+    """Words of `pairs` that stand where their correction stands: at least ALIKE of their places have the two
+    neighbours of a place of the correction. Numbers count as one neighbour, words out of the lexicon as another."""
+    if not pairs:
+        return set()
+    spark = layout.sparkSession
+    need = {y for p in pairs for y in p}
+    shared = spark.sparkContext.broadcast((frozenset(words), frozenset(need)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = shared.value
+        seen: Counter[tuple[str, str, str]] = Counter()
+
+        def beside(tokens: list[str], k: int) -> str:
+            if not 0 <= k < len(tokens):
+                return ""
+            core = tokens[k].strip(EDGE)
+            return core if core in known else "#" if NUMBER.fullmatch(core) else "?"
+
+        def flush() -> pa.RecordBatch:
+            keys = list(seen)
+            out = pa.RecordBatch.from_arrays([*[pa.array([x[k] for x in keys], pa.string()) for k in range(3)], pa.array(list(seen.values()), pa.int64())], ["word", "before", "after", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).drop_null().to_pylist():
+                tokens = text.lower().split()
+                for k, x in enumerate(tokens):
+                    if x in wanted or (x := x.strip(EDGE)) in wanted:
+                        seen[x, beside(tokens, k - 1), beside(tokens, k + 1)] += 1
+            if len(seen) > 400_000:
+                yield flush()
+        yield flush()
+
+    places = durable(texts_of(layout, tables).mapInArrow(run, "word string, before string, after string, n long").groupBy("word", "before", "after").agg(F.sum("n").alias("n")))
+    own = places.join(spark.createDataFrame(pairs, "word string, fixed string"), "word")
+    there = places.select(F.col("word").alias("fixed"), "before", "after", F.lit(1).alias("there"))
+    share = own.join(there, ["fixed", "before", "after"], "left").groupBy("word", "fixed").agg((F.sum(F.when(F.col("there") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    return {r.word for r in share.filter(F.col("share") >= ALIKE).select("word").distinct().collect()}
+
+
+def clean_lexicon(layout: DataFrame, tables: DataFrame) -> dict[str, int]:
+    """The lexicon without misreadings that recur; each correction is more frequent, so it never goes by the word it corrects."""
+    words = lexicon(layout, tables)
+    sure, pairs = doubtful(words)
+    out = sure | alike(layout, tables, words, pairs)
+    return {w: n for w, n in words.items() if w not in out}
 
 
 def _titles(report_files: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -395,7 +452,7 @@ def repair(layout: DataFrame, tables: DataFrame, report_files: DataFrame) -> tup
     page number. Null texts and tables: no row; empty and blank ones come out empty, not noisy. Ties and repeated rows
     are treated alike. Word counts come from all texts and cells of both tables.
     """
-    words = clean_lexicon(lexicon(layout, tables))
+    words = clean_lexicon(layout, tables)
     titles = _titles(report_files)
     spark = layout.sparkSession
     shared = spark.sparkContext.broadcast((words, titles))  # at most SHARE words

@@ -149,6 +149,18 @@ def test_repair_over_tables(spark):
     assert scanned.found(layout.filter("false"), tables.filter("false"), reports).count() == 0
 
 
+def test_rare_misreadings_leave_the_lexicon(spark):
+    places = {"theo": "báo cáo {} luật", "khí": "lượng {} thải", "carbon": "low {} fuel", "emissions": "total {} of", "trong": "nước {} năm", "với": "so {} năm"}
+    odd = {"thco": "theo", "khl": "khí", "carbori": "carbon", "ernissions": "emissions", "vớl": "với"}
+    rows = [t.format(w) for w, t in places.items() for _ in range(1200)] + [places[w].format(x) for x, w in odd.items() for _ in range(12)] + ["xem {} 7 nhé".format("trang")] * 60
+    layout = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "block_key long, text string")
+    tables = spark.createDataFrame([], "table_key long, table_data array<array<string>>")
+    words = scanned.clean_lexicon(layout, tables)
+    assert not set(odd) & set(words) and "trang" in words and set(places) <= set(words)
+    page = scanned.Page(words, TITLES)
+    assert {x: page.verdict(x) for x in odd} == odd
+
+
 # Problem 6.
 def test_copies_against_plain_grouping(spark):
     rng = random.Random(6)
