@@ -63,7 +63,7 @@ def w03_column_groups(s: S, d: str) -> DataFrame:
 
 
 def w04_virtual_panels(s: S, d: str) -> DataFrame:
-    return layout.virtual_panels(i.words(s, d).filter("ocr_index < 24"), 960, 600).select(*WORD, "panel")
+    return layout.virtual_panels(i.words(s, d), 960, 600).select(*WORD, "panel")
 
 
 def w05_aligned_groups(s: S, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import dataset, evaluate, grid, kb, layout, lineage, quantities, scope, spatial
+from factloom.plans import documents, inputs
 from factloom.streaming import events as ev
 
 WORDS = "page long, ocr_index int, x0 int, y0 int, x1 int, y1 int, layout_label string, text string"
@@ -76,6 +77,16 @@ def test_chunk_starts(spark):
     assert {k: sorted(v) for k, v in got.items()} == {60: [0], 61: [0, 1], 120: [0, 30, 60], 130: [0, 30, 60, 70]}
 
 
+def test_virtual_panels_look_at_all_words(spark, folder):
+    rows = [(1, k, 20 + 40 * (k % 10) + 520 * (k % 2), 10 * k, 50 + 40 * (k % 10) + 520 * (k % 2), 10 * k + 9, "text", "w") for k in range(40)]
+    two = {r.ocr_index: r.panel for r in layout.virtual_panels(spark.createDataFrame(rows, WORDS), 960, 600).collect()}
+    assert two == {k: k % 2 for k in range(40)}
+    bridge = (1, 40, 300, 10, 600, 19, "text", "fills the gap")
+    assert {r.panel for r in layout.virtual_panels(spark.createDataFrame([*rows, bridge], WORDS), 960, 600).collect()} == {0}
+    got = documents.w04_virtual_panels(spark, folder)
+    assert got.count() == inputs.words(spark, folder).count() and got.agg(F.max("ocr_index")).first()[0] > 24
+
+
 CELL = "table_key long, row_no int, col_no int, text string"
 
 
