@@ -174,7 +174,7 @@ def r01_resolve(s: S, d: str) -> DataFrame:
 
 
 def r02_table_scope(s: S, d: str) -> DataFrame:
-    r = scope.resolved(i.esg_text(s, d), "text", _P()).select(C("page").alias("table_key"), "r.scope", "r.confidence").filter("table_key % 2 = 0 or scope = 'Other'")
+    r = scope.resolved(i.esg_text(s, d), "text", _P()).select(C("page").alias("table_key"), "r.scope", "r.confidence")
     return scope.table_scope(r).withColumn("confidence", F.round("confidence", 2))
 
 

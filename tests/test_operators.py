@@ -37,6 +37,18 @@ def test_table_scope(spark):
     assert {r.table_key: (r.scope, r.confidence) for r in scope.table_scope(df).collect()} == {1: ("Mixed", 0.7), 2: ("Scope 3", 0.8), 3: ("Other", 0.0)}
 
 
+def test_all_rows_vote_in_table_scope(spark, folder):
+    votes = {}
+    for r in documents.r01_resolve(spark, folder).collect():
+        votes.setdefault(r.page, set()).add(r.scope)
+    got = {r.table_key: (r.scope, r.scope_source) for r in documents.r02_table_scope(spark, folder).collect()}
+    want = {k: sorted(v - {"Other"}) for k, v in votes.items()}
+    assert got == {k: ("Mixed", "row_consensus_mixed") if len(v) > 1 else (v[0], "row_consensus") if v else ("Other", "unresolved") for k, v in want.items()}
+    assert any(k % 2 and v for k, v in want.items())
+    none = scope.table_scope(spark.createDataFrame([(1, "Other", 0.9), (1, "Other", 0.2)], "table_key long, scope string, confidence double")).first()
+    assert (none.scope, none.confidence, none.scope_source) == ("Other", 0.0, "unresolved")
+
+
 def test_lines_against_brute_force(spark):
     df, rows = words(spark)
     got = {(r.page, r.ocr_index): r.line_no for r in layout.lines(df).collect()}
