@@ -77,7 +77,7 @@ def w07_continuations(s: S, d: str) -> DataFrame:
 
 def w08_region_headers(s: S, d: str) -> DataFrame:
     words = tuple(dict.fromkeys(DEFAULT.header_words + DEFAULT.metric_words))
-    c = i.cells(s, d).filter("row_no < 2")
+    c = i.cells(s, d)
     year = F.count_if(C("text").rlike(r"(19|20)\d{2}"))
     key = F.bool_or(t.contains_any(C("text"), words))
     return c.groupBy("table_key").agg(((year >= 2) | F.coalesce(key, F.lit(False))).alias("has_header"))

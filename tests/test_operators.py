@@ -118,6 +118,12 @@ def test_facts(spark):
     assert grid.facts(as_cells(spark, t).filter("false")).count() == 0
 
 
+def test_region_headers_look_at_all_rows(spark, tmp_path):
+    rows = [(1, [["a", "1"], ["b", "2"], ["c", "2023"], ["d", "FY2024"]]), (2, [["a", "1"], ["b", "2"], ["c", "Unit"]]), (3, [["a", "1"], ["b", "2"], ["c", "2023"], [None, ""]]), (4, [["Year", "2"]])]
+    spark.createDataFrame(rows, "table_key long, table_data array<array<string>>").write.parquet(f"{tmp_path}/all_tables.parquet")
+    assert {r.table_key: r.has_header for r in documents.w08_region_headers(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
 def test_join_continuations(spark):
     t = [["Site", "Indicator", "2023"], ["", "Water (fresh", ""], ["", "and reused)", ""], ["North", "", ""], ["South", "Fuel", "3"], ["", "", "4"]]
     got = {}
