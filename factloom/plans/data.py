@@ -323,11 +323,11 @@ def z02_z03_lines(s: S, d: str) -> DataFrame:
 
 
 def z04_last_events(s: S, d: str) -> DataFrame:
-    return ev.last_events(table(s, d, "events"), 20).select("user_id", "event_id", "k")
+    return ev.last_events(table(s, d, "events")).select("user_id", "event_id", "k")
 
 
 def z04_ring_buffer(s: S, d: str) -> DataFrame:
-    out = ev.run_to_table(ev.ring_buffer(ev.read(s, d), 20), "z04_ring_buffer", "update")
+    out = ev.run_to_table(ev.ring_buffer(ev.read(s, d)), "z04_ring_buffer", "update")
     return out.groupBy("user_id").agg(F.max_by("n", "newest").alias("n"), F.max_by("oldest", "newest").alias("oldest"), F.max("newest").alias("newest"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import dataset, evaluate, grid, kb, layout, lineage, quantities, scope, spatial
-from factloom.plans import documents, inputs
+from factloom.plans import data, documents, inputs
 from factloom.streaming import events as ev
 
 WORDS = "page long, ocr_index int, x0 int, y0 int, x1 int, y1 int, layout_label string, text string"
@@ -191,6 +191,16 @@ def test_stream_equals_batch(spark, folder):
     assert sorted(map(key, batch.collect())) == sorted(map(key, stream.collect()))
 
 
+def test_last_events_keep_500(spark, tmp_path):
+    rows = [(k, 1) for k in range(600)] + [(1000 + k, 2) for k in range(30)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = data.z04_last_events(spark, str(tmp_path)).groupBy("user_id").agg(F.count("*"), F.min("event_id"), F.max("event_id"))
+    want = {(1, 500, 100, 599), (2, 30, 1000, 1029)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert {tuple(r) for r in data.z04_ring_buffer(spark, str(tmp_path)).select("user_id", "n", "oldest", "newest").collect()} == want
+
+
 # Problem 5.
 FACTORS = [("tCO2e", "emissions", "tCO2e", 1.0), ("kgCO2e", "emissions", "tCO2e", 0.001), ("MWh", "energy", "MWh", 1.0), ("kWh", "energy", "MWh", 0.001), ("GWh", "energy", "MWh", 1000.0), ("MMBtu", "energy", "MWh", 0.29307107), ("gal_us", "water", "m3", 0.003785), ("t", "waste", "t", 1.0)]
 
