@@ -36,6 +36,7 @@ EDGE = ".,;:()[]{}“”\"'‘’?!…"
 NUMBER = re.compile(r"[(\[]?[-+±–−<>~≈]*\d[\d.,/:–-]*\d*[)\]]?[%°]?\)?|[\d\W_]+")
 FINE = re.compile(r"(?:fy|cy|h|q|iso|pm|co|ch|sf|nf|n|hfc-?)\d[\d.]*(?:e|o|eq)?|\d+(?:st|nd|rd|th|kg|t|ml|kwh|mwh|gwh|gj|mj|tj|km|m²|m³|m3|ha|h|%)|(?:19|20)\d0s")
 BAD_NUMBER = re.compile(r"[(\[-]?(?=[^\d]*\d)(?=\d*[.,\d]*[olisbgqz|!])[\dolisbgqz|!][\dolisbgqz|!.,]*[\dolisbgqz|!%)]*")
+ODD = re.compile(r"[^\W\d_](?:[^\W_]|[+|!$€@])*")  # what may be words without their spaces or a part of one
 PAGE = re.compile(
     r"^[^\S\n]*(?:[-–—|\[(]*[^\S\n]*(?:page|trang|pg\.?|p\.|seite)[^\S\n]*[|:.]?[^\S\n]*\d{1,4}(?:[^\S\n]*(?:of|/|trên)[^\S\n]*\d{1,4})?|[-–—][^\S\n]*\d{1,4}[^\S\n]*[-–—]|\[[^\S\n]*\d{1,4}[^\S\n]*\]|\d{1,3}[^\S\n]*/[^\S\n]*\d{1,3}|\d{1,3}|[ivxl]{2,7})[^\S\n]*[-–—|\])]*[^\S\n]*$",
     re.I | re.M,
@@ -53,7 +54,8 @@ class Piece:
 
 @dataclass
 class Decoder:
-    """Joint word segmentation of a character stream without line breaks, over a lexicon with word costs.
+    """Joint word segmentation of a character stream without line breaks, over a lexicon with word costs: `decode` of a
+    single token or the halves of a word at a line end, `stretch` of neighbouring tokens.
 
     The best path over the stream may read a character for a confused one, drop a hyphen with the line break after it,
     split a run of letters into words or merge letters across a space; each has its cost. A path that ends in no word
@@ -134,11 +136,62 @@ class Decoder:
                 return out[::-1]
         return None
 
+    def stretch(self, s: str, phrases: frozenset[str]) -> list[tuple[int, int, str | None, int]]:
+        """(begin, end, word, edits) of the cheapest reading of the tokens of `s`, which one space parts.
+
+        A token may stay unknown (word None), tokens may merge to a word if one of them is unknown, and an unknown one
+        may split into words that are `phrases` of the corpus two by two; up to one character of a word is confused.
+        Tokens of the lexicon and whole unknown tokens aren't edited here."""
+        known = {}  # begin of each token -> (end, whether it is a word)
+        at = 0
+        for x in s.split(" "):
+            known[at] = (at + len(x), x in self.words)
+            at += len(x) + 1
+        begins, owner = sorted(known), {}
+        for b in begins:
+            owner.update(dict.fromkeys(range(b, known[b][0] + 1), b))
+        best: dict[tuple[int, str], tuple[float, tuple[int, str] | None, tuple[int, int, str | None, int] | None]] = {(0, ""): (0.0, None, None)}
+        for begin in range(len(s)):  # word "": the next word stands at the begin of a token
+            here = [(k, v[0]) for k, v in best.items() if k[0] == begin]
+            if not here:
+                continue
+            arcs: list[tuple[int, str | None, int]] = [(e, w, n) for e, w, n, _ in self.arcs(s, begin, 1) if s[e - 1] != " "]
+            if begin in known and not known[begin][1]:
+                arcs.append((known[begin][0], None, 0))
+            for end, w, edits in arcs:
+                if end <= begin:
+                    continue
+                own = [b for b in begins if owner[begin] <= b < end]
+                whole = begin in known and end == known[own[-1]][0]
+                new = any(not known[b][1] for b in own)
+                if w is None:
+                    cost = 10.0 + 3.0 * (end - begin)
+                elif whole and len(own) == 1:
+                    if edits:
+                        continue
+                    cost = self.cost[w]
+                elif not new or len(w) < (6 if edits and len(own) > 1 else 4 if len(own) > 1 else 2) or len(own) > 1 and not whole:
+                    continue
+                else:
+                    cost = self.cost[w] + edits * self.edit_cost + (len(own) - 1) * self.merge_cost + (self.split_cost if not whole else 0.0)
+                for key, before in here:
+                    if key[1] and f"{key[1]} {w}" not in phrases:
+                        continue
+                    to = (end + 1, "") if end in (len(s), known[own[-1]][0]) else (end, w or "")
+                    if before + cost < best.get(to, (math.inf,))[0]:
+                        best[to] = (before + cost, key, (begin, end, w, edits))
+        out, key = [], (len(s) + 1, "")
+        while best[key][1] is not None:
+            out.append(best[key][2])
+            key = best[key][1]
+        return out[::-1]
+
 
 class Page:
     """What one worker knows about the corpus: lexicon, titles, and the verdicts on words it has met."""
 
-    def __init__(self, words: dict[str, int], titles: tuple[tuple[str, ...], tuple[str, ...]]):
+    def __init__(self, words: dict[str, int], titles: tuple[tuple[str, ...], tuple[str, ...]], phrases: frozenset[str] = frozenset()):
+        self.phrases, self.unknown, self.streams = phrases, set(), {}
         self.words, self.decoder, self.rewriter = words, Decoder(words), Rewriter()
         self.suspect = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", suspects()))
         self.fine: set[str] = set()
@@ -188,22 +241,70 @@ class Page:
             fixed.append(path[0].word)
         return "-".join(fixed) if fixed != whole else None
 
-    def misread(self, text: str) -> dict[str, str]:
-        """token in lower case -> correction, for the tokens of a text that hold wrongly read characters."""
+    def misread(self, tokens: set[str]) -> dict[str, str]:
+        """token -> correction, for the tokens, in lower case, that hold wrongly read characters."""
         out = {}
-        for w in set(text.lower().split()) - self.fine:
+        for w in tokens - self.fine:
             got = self.bad.get(w)
             if got is None:
                 got = self.verdict(w)
                 if got is None:
                     if len(self.fine) > 1_500_000:  # numbers are without end
                         self.fine.clear()
+                        self.unknown.clear()
                     self.fine.add(w)
+                    core = w.strip(EDGE)
+                    same = core if core.isascii() else self.rewriter.rewrite(core)[0].lower()
+                    if same not in self.words and ODD.fullmatch(core) and not FINE.fullmatch(core):
+                        self.unknown.add(w)
                     continue
                 self.bad[w] = got
             out[w] = got
         return out
 
+    def spaced(self, text: str) -> tuple[bool, str]:
+        """Whether words of a text run together or are broken by a space, and the text with their spaces set right.
+
+        Decoded are stretches of unknown tokens with the words beside them, across single line breaks, up to the next
+        sign, number or blank line."""
+        parts = re.split(r"(\s+)", text)  # tokens at even places
+        tokens = parts[::2]
+        odd = [x.lower() in self.unknown for x in tokens]
+        beside = [o or len(x) == len(x.lower()) and x.lower().strip(EDGE) in self.words for o, x in zip(odd, tokens)]
+        bound = [k == 0 or not (beside[k - 1] and beside[k]) or tokens[k - 1][-1] in EDGE or tokens[k][0] in EDGE or parts[2 * k - 1].count("\n") > 1 for k in range(len(tokens))] + [True]
+        hit, k = False, 0
+        while k < len(tokens):
+            if not odd[k] or len(tokens[k]) != len(tokens[k].lower()):
+                k += 1
+                continue
+            first, last = k if bound[k] else k - 1, k
+            while not bound[last + 1] and (odd[last] or odd[last + 1]):
+                last += 1
+            k = last + 1
+            left = len(tokens[first]) - len(tokens[first].lstrip(EDGE))
+            right = len(tokens[last].rstrip(EDGE)) if first < last else len(tokens[last].rstrip(EDGE)) - left
+            own = [x.strip(EDGE) for x in tokens[first : last + 1]]
+            s = " ".join(own)
+            got = self.streams.get(s.lower())
+            if got is None:
+                if len(self.streams) > 300_000:
+                    self.streams.clear()
+                got = self.streams[s.lower()] = self.decoder.stretch(s.lower(), self.phrases)
+            if len(got) == len(own) and all(" " not in s[b:e] for b, e, _, _ in got):
+                continue
+            hit = True
+            gaps = iter(range(first, last))
+            out = tokens[first][:left]
+            for b, e, w, edits in got:
+                for _ in range(s.count(" ", b, e)):
+                    next(gaps)
+                piece = s[b:e].replace(" ", "")
+                out += recase(piece, w) if edits else piece
+                if e < len(s):
+                    out += parts[2 * next(gaps) + 1] if s[e] == " " else " "
+            parts[2 * first : 2 * last + 1] = [out + tokens[last][right if first < last else left + right :]] + [""] * (2 * (last - first))
+        return hit, "".join(parts) if hit else text
+
     def carried(self, left: str, mark: str, right: str) -> str | None:
         """The word that a hyphen at a line end has cut, or None where the hyphen belongs to the word."""
         key = f"{left}\n{mark}{right}"
@@ -262,10 +363,12 @@ class Page:
 
         if "\n" in text:
             text = CARRIED.sub(join, text)
-        wrong = self.misread(text)
+        tokens = set(text.lower().split())
+        wrong = self.misread(tokens)
         if wrong:
             text = re.sub(r"\S+", lambda m: recase(m.group(), wrong.get(m.group().lower())), text)
-        return bool(noise or hyphens or wrong) and not running, paragraphs(text)
+        spaces, text = (False, text) if self.unknown.isdisjoint(tokens) else self.spaced(text)
+        return bool(noise or hyphens or wrong or spaces) and not running, paragraphs(text)
 
     def table(self, rows: list[list[str | None] | None]) -> tuple[bool, list[list[str | None]]]:
         """Whether a table carries traces of the scanned page, and its rows without them, each cell on one line."""
@@ -283,7 +386,7 @@ class Page:
                     continue
             for k in some:
                 if r[k] and not (k in odd):
-                    hit, text = self.block(None, r[k]) if not PAGE.fullmatch(r[k].strip()) else (bool(self.misread(r[k])), r[k])
+                    hit, text = self.block(None, r[k]) if not PAGE.fullmatch(r[k].strip()) else (bool(self.misread(set(r[k].lower().split()))), r[k])
                     found |= hit
                     r[k] = " ".join(text.split()) if text else r[k]
             out.append(r)
@@ -437,6 +540,35 @@ def clean_lexicon(layout: DataFrame, tables: DataFrame) -> dict[str, int]:
     return {w: n for w, n in words.items() if w not in out}
 
 
+def phrases_of(layout: DataFrame, tables: DataFrame, words: dict[str, int]) -> frozenset[str]:
+    """Pairs of lexicon words that are at least every SHARE-th pair of neighbouring ones, hence at most SHARE pairs."""
+    shared = layout.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        raw: Counter[tuple[str, str]] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out: Counter[str] = Counter()
+            for (a, b), n in raw.items():
+                if (a := a.lstrip(EDGE)) in known and (b := b.rstrip(EDGE)) in known:
+                    out[f"{a} {b}"] += n
+            raw.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["pair", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).drop_null().to_pylist():
+                tokens = text.lower().split()
+                raw.update(zip(tokens, tokens[1:]))
+            if len(raw) > 400_000:
+                yield flush()
+        yield flush()
+
+    counts = durable(texts_of(layout, tables).mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.pair for r in counts.filter((F.col("n") * SHARE >= total) & (F.col("n") >= LEAST)).select("pair").collect())
+
+
 def _titles(report_files: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Company names and report kinds; the table of report files is fixed in size."""
     got = report_files.select(F.collect_set("company").alias("c"), F.collect_set("report_type").alias("k")).first()
@@ -447,7 +579,7 @@ def repair(layout: DataFrame, tables: DataFrame, report_files: DataFrame) -> tup
     """(row_key, text, noisy) of the blocks and (row_key, table_data, noisy) of the tables.
 
     Text comes out in continuous paragraphs: words cut by a hyphen at a line end are joined, wrongly read characters
-    corrected, running titles and page numbers amid other content removed, line breaks within paragraphs gone. noisy:
+    corrected, words that run together or are broken by a space set right, running titles and page numbers amid other content removed, line breaks within paragraphs gone. noisy:
     at least one such trace was there. Blocks of type header or footer and blocks of one item only keep their title or
     page number. Null texts and tables: no row; empty and blank ones come out empty, not noisy. Ties and repeated rows
     are treated alike. Word counts come from all texts and cells of both tables.
@@ -455,7 +587,7 @@ def repair(layout: DataFrame, tables: DataFrame, report_files: DataFrame) -> tup
     words = clean_lexicon(layout, tables)
     titles = _titles(report_files)
     spark = layout.sparkSession
-    shared = spark.sparkContext.broadcast((words, titles))  # at most SHARE words
+    shared = spark.sparkContext.broadcast((words, titles, phrases_of(layout, tables, words)))  # at most SHARE words and pairs
     stamp = str(shared._jbroadcast.id()) + spark.sparkContext.applicationId
 
     def page() -> Page:

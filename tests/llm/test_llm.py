@@ -139,6 +139,19 @@ def test_decoder_splits_and_merges():
     assert [p.word for p in d.decode("with\ndrawal")] == ["withdrawal"] and d.decode("zzzqx") is None
 
 
+@pytest.mark.parametrize(
+    "text,noisy,want",
+    [
+        ("use of Thewater network", True, "use of The water network"), ("fuel ofwaler (ofwaler).", True, "fuel of water (of water)."), ("the with drawal of the mill", True, "the withdrawal of the mill"), ("the wi thdrawal of", True, "the withdrawal of"), ("the emis\nsions was", True, "the emissions was"),
+        ("the emis\n\nsions", False, "the emis\n\nsions"), ("the emis. sions", False, "the emis. sions"), ("the ern issions.", True, "the emissions."), ("Tant in fuelmarch", False, "Tant in fuelmarch"), ("low carbon fuel", False, "low carbon fuel"),
+        ("ofthewaterofthewaterofthewaterofthewaterofthewaterofthewaterofthewater", True, " ".join(["of the water"] * 7)),
+    ],
+)
+def test_repair_spaces(text, noisy, want):
+    page = scanned.Page(WORDS, TITLES, frozenset({"the water", "of water", "of the", "water of"}))
+    assert page.block("text", text) == (noisy, want)
+
+
 def test_repair_over_tables(spark):
     rows = [(k, "text", "the water withdrawal of the mill was reviewed and the steam network", "r", "x") for k in range(30)] + [(100, "text", "the water with-\ndrawal", "r", "x"), (100, "text", "the water with-\ndrawal", "r", "x"), (101, None, None, "r", "x"), (102, "text", "the wa+er", "r", "x")]
     layout = spark.createDataFrame(rows, "block_key long, type string, text string, report_id string, noisy string")
