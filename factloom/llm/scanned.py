@@ -422,13 +422,17 @@ def paragraphs(text: str) -> str:
         short = len(lines[k - 1]) < 0.75 * wide
         return 3.0 - 2.5 * ends[k - 1] - 1.5 * starts[k] - 2.0 * (short and ends[k - 1]) + 3.0 * (not ends[k - 1]) + (1.0 if not short else 0.0) - 2.0 * bool(re.match(r"[•>*]|- ", lines[k]))
 
-    best: list[tuple[float, int]] = [(0.0, 0)]
-    for end in range(1, n + 1):
-        best.append(min((best[b][0] + (gap(b) if b else 0.0) + (1.0 if end - b == 1 else 0.0), b) for b in range(max(0, end - 60), end)))
-    out, at = [], n
+    # the least cost up to line k, by whether line k is alone in its paragraph so far, and where that paragraph begins
+    alone, more = (1.0, 0), (math.inf, 0)
+    before = [0] * n  # begin of the paragraph that ends before line k, should one begin there
+    for k in range(1, n):
+        cost, before[k] = min(alone, more)
+        more = min((alone[0] - 1.0, alone[1]), more)
+        alone = (cost + gap(k) + 1.0, k)
+    out, at, begin = [], n, min(alone, more)[1]
     while at:
-        out.append(" ".join(" ".join(x for x in lines[best[at][1] : at] if x).split()))
-        at = best[at][1]
+        out.append(" ".join(" ".join(x for x in lines[begin:at] if x).split()))
+        at, begin = begin, before[begin]
     return "\n\n".join(x for x in out[::-1] if x)
 
 

@@ -139,6 +139,12 @@ def test_decoder_splits_and_merges():
     assert [p.word for p in d.decode("with\ndrawal")] == ["withdrawal"] and d.decode("zzzqx") is None
 
 
+def test_paragraph_of_many_lines():
+    lines = ["the water withdrawal of the mill and"] * 200
+    assert scanned.paragraphs("\n".join(lines)) == " ".join(lines)
+    assert scanned.paragraphs("\n".join([*lines, "", *lines])) == " ".join(lines) + "\n\n" + " ".join(lines)
+
+
 @pytest.mark.parametrize(
     "text,noisy,want",
     [
