@@ -218,14 +218,14 @@ def same_amounts(converted: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """(block_key_a, block_key_b), smaller first: blocks of one site, indicator and year whose amounts agree within
     `tolerance` of the larger, in units that stand for different amounts of the common unit.
 
-    Amounts meet in logarithmic buckets of their group, so blocks of one group with other amounts never meet. Blocks
+    Amounts of one sign meet in logarithmic buckets of their group, so blocks of one group with other amounts never meet. Blocks
     without amount are in no pair; two zeros agree. Blocks in the same unit are never paired."""
     keys = ["site_code", "indicator", "year", "common_unit"]
     width = float(-np.log1p(-tolerance) * 1.001)
-    bucket = F.when(F.col("common_value") == 0, F.lit(-(10**9))).otherwise(F.floor(F.log(F.abs("common_value")) / width) * F.when(F.col("common_value") < 0, F.lit(3)).otherwise(F.lit(1)))
-    rows = durable(converted.filter("common_value is not null and block_key is not null").select("block_key", *keys, "common_value", "unit_amount", bucket.cast("long").alias("b")))
+    bucket = F.when(F.col("common_value") == 0, F.lit(-(10**9))).otherwise(F.floor(F.log(F.abs("common_value")) / width))
+    rows = durable(converted.filter("common_value is not null and block_key is not null").select("block_key", *keys, "common_value", "unit_amount", F.signum("common_value").cast("int").alias("sign"), bucket.cast("long").alias("b")))
     a = rows.withColumnsRenamed({"block_key": "ka", "common_value": "va", "unit_amount": "ua"}).withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
     b = rows.withColumnsRenamed({"block_key": "kb", "common_value": "vb", "unit_amount": "ub"})
     agree = (F.abs(F.col("va") - F.col("vb")) <= tolerance * F.greatest(F.abs("va"), F.abs("vb"))) & (F.abs(F.col("ua") - F.col("ub")) > 1e-9 * F.greatest("ua", "ub"))
-    hit = a.join(b, [*keys, "b"]).filter((F.col("ka") < F.col("kb")) & agree)
+    hit = a.join(b, [*keys, "sign", "b"]).filter((F.col("ka") < F.col("kb")) & agree)
     return hit.select(F.col("ka").alias("block_key_a"), F.col("kb").alias("block_key_b"))

@@ -238,6 +238,16 @@ def test_same_amounts_against_brute_force(spark):
     assert quantities.same_amounts(quantities.convert(df.filter("false"), factors)).count() == 0
 
 
+def test_same_amounts_of_negative_values(spark):
+    rng = random.Random(7)
+    amounts = [sign * 100.0 * 1.0004**k for k in range(40) for sign in (1, -1)] + [0.0, 0.0]
+    rows = [(k, "s", "credits", 2020, "MWh", x, rng.choice([1.0, 1000.0])) for k, x in enumerate(amounts)]
+    conv = spark.createDataFrame(rows, "block_key long, site_code string, indicator string, year int, common_unit string, common_value double, unit_amount double")
+    got = sorted((r.block_key_a, r.block_key_b) for r in quantities.same_amounts(conv).collect())
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[5] - b[5]) <= 0.001 * max(abs(a[5]), abs(b[5])) and a[6] != b[6])
+    assert got == want and any(amounts[a] < 0 for a, _ in want)
+
+
 def test_classifier_predicts_missing_units(spark):
     rng = random.Random(2)
     rows = []
