@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 LABELS = ("O", "chart", "figure", "footer", "header", "ignore", "table", "table_text", "text", "toc")
+BLOCK_LABELS = ("text", "figure", "table", "table_text")  # words of these make up text blocks
 SCOPES = ("Other", "Scope 1", "Scope 2", "Scope 3")
 STEPS = (("convert", "PDF Rendering", 8), ("ocr", "OCR", 25), ("layout", "Layout Analysis", 20), ("tables", "Table Understanding", 18), ("blocks", "Layout Blocks", 5), ("scope", "Scope Classification", 13), ("visualize", "Visualization", 11))
 

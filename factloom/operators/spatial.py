@@ -35,11 +35,11 @@ def tokens_in(words: DataFrame, regions: DataFrame, order: str = "ann_idx") -> D
     return hit.select("page", order, "ocr_index", "text", *[(F.col(c) - F.col("r_x0" if c[0] == "x" else "r_y0")).alias(c) for c in BOX])
 
 
-def adjacent_headers(regions: DataFrame, words: DataFrame, median_height: DataFrame, order: str = "ann_idx") -> DataFrame:
+def adjacent_headers(regions: DataFrame, words: DataFrame, median_height: DataFrame | None = None, order: str = "ann_idx") -> DataFrame:
     """J-04: regions extended upward by the figure or table_text words above them that share some width and end at most
-    four median heights away."""
+    four median heights away. Without `median_height` by page, each region brings its own median_h."""
     w = words.filter(F.col("layout_label").isin("figure", "table_text")).select("page", *[F.col(c).alias(f"w_{c}") for c in BOX])
-    r = regions.join(median_height, "page").join(w, "page", "left")
+    r = (regions if median_height is None else regions.join(median_height, "page")).join(w, "page", "left")
     near = (overlap(F.col("w_x0"), F.col("w_x1"), F.col("x0"), F.col("x1")) > 0) & (F.col("w_y0") <= F.col("y1")) & (F.greatest(F.lit(0), F.col("y0") - F.col("w_y1")) <= 4 * F.col("median_h"))
     pick = lambda c: F.when(near, F.col(f"w_{c}"))
     low, high = (lambda c: F.min(F.least(F.col(c), F.coalesce(pick(c), F.col(c))))), (lambda c: F.max(F.greatest(F.col(c), F.coalesce(pick(c), F.col(c)))))

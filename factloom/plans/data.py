@@ -37,12 +37,6 @@ def a08_page_totals(s: S, d: str) -> DataFrame:
     return report.totals(table(s, d, "all_tables").select("report_id", "is_esg"), "report_id", "is_esg")
 
 
-def a09_page_log(s: S, d: str) -> DataFrame:
-    w = i.words(s, d)
-    a = w.groupBy("page").agg(F.count_if(C("layout_label") == "table").alias("n_table_tokens"), F.count("*").alias("n_words"))
-    return a.withColumn("reason", F.when(C("n_table_tokens") == 0, "no_table_tokens").when(C("n_table_tokens") < DEFAULT.least_tokens, "few_table_tokens"))
-
-
 def a10_label_shares(s: S, d: str) -> DataFrame:
     return report.shares(i.words(s, d), "layout_label")
 
@@ -420,7 +414,6 @@ def oracle_sql() -> dict[str, str]:
         "a06_first_words": f"WITH {w}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY ocr_index) AS INT) AS k FROM words) SELECT page, count(*) AS n_words, string_agg(text, ' ' ORDER BY k) FILTER (k <= 80) AS first_words FROM k GROUP BY page",
         "a07_table_summary": "SELECT count(*) AS n_tables, count(DISTINCT CASE WHEN report_id IS NOT NULL AND page IS NOT NULL THEN (report_id, page) END) AS n_pages, CAST(sum(rows * cols) AS BIGINT) AS n_cells, count(*) FILTER (is_esg) AS n_esg FROM all_tables",
         "a08_page_totals": "SELECT report_id, is_esg, grouping(report_id, is_esg) AS level, count(*) AS n FROM all_tables GROUP BY ROLLUP (report_id, is_esg)",
-        "a09_page_log": f"WITH {w}, a AS (SELECT page, count(*) FILTER (layout_label = 'table') AS n_table_tokens, count(*) AS n_words FROM words GROUP BY page) SELECT *, CASE WHEN n_table_tokens = 0 THEN 'no_table_tokens' WHEN n_table_tokens < 5 THEN 'few_table_tokens' END AS reason FROM a",
         "a10_label_shares": f"WITH {w}, c AS (SELECT layout_label, count(*) AS n FROM words GROUP BY 1) SELECT layout_label, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, CAST(row_number() OVER (ORDER BY n DESC, layout_label) AS INT) AS place FROM c",
         "a11_length_stats": f"WITH {pages} SELECT standard, {_STATS} FROM pages_ GROUP BY standard",
         "a12_histogram": f"WITH {pages} SELECT CASE WHEN length(text) >= 6000 THEN 31 ELSE length(text) // 200 + 1 END AS bin, count(*) AS n FROM pages_ WHERE text IS NOT NULL GROUP BY 1",
@@ -475,8 +468,8 @@ def oracle_sql() -> dict[str, str]:
         "m13_extraction": f"WITH {i.SQL['cells']}, e AS (SELECT * FROM cells WHERE table_key % 9 <> 0), g AS (SELECT table_key, row_no, col_no, CASE WHEN table_key % 10 = 0 THEN '' ELSE text END AS gt FROM cells WHERE table_key % 8 <> 0), j AS (SELECT e.table_key AS ek, g.table_key AS gk, text, gt FROM e FULL JOIN g USING (table_key, row_no, col_no)) SELECT round(count(*) FILTER (ek IS NOT NULL AND gk IS NOT NULL) / count(ek), 6) AS recall, round(count(*) FILTER (ek IS NOT NULL AND gk IS NOT NULL) / count(gk), 6) AS precision, round(avg(CAST(text IS NOT DISTINCT FROM gt AS DOUBLE)) FILTER (ek IS NOT NULL AND gk IS NOT NULL), 6) AS same_text FROM j",
         "z01_event_json": "SELECT event_id, '{\"event_id\":' || event_id || CASE WHEN event_type IS NULL THEN '' ELSE ',\"event_type\":\"' || event_type || '\"' END || '}' AS line FROM events",
         "z02_z03_lines": "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'warning' WHEN 'click' THEN 'progress' ELSE 'info' END AS kind, CASE WHEN event_type IN ('error', 'click') THEN CAST(event_id % 9 AS INT) END AS current FROM events",
-        "z04_last_events": "SELECT * FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS k FROM events) WHERE k <= 20",
-        "z04_ring_buffer": "SELECT user_id, CAST(count(*) AS INT) AS n, min(event_id) AS oldest, max(event_id) AS newest FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS k FROM events) WHERE k <= 20 GROUP BY user_id",
+        "z04_last_events": "SELECT * FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS k FROM events) WHERE k <= 500",
+        "z04_ring_buffer": "SELECT user_id, CAST(count(*) AS INT) AS n, min(event_id) AS oldest, max(event_id) AS newest FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INT) AS k FROM events) WHERE k <= 500 GROUP BY user_id",
         "z05_after": "SELECT event_id, event_type FROM events WHERE event_id > 500",
         "z06_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL",
         "z06_sessions": """WITH f AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM f)

@@ -59,17 +59,13 @@ def w02_vertical_groups(s: S, d: str) -> DataFrame:
 
 
 def w03_column_groups(s: S, d: str) -> DataFrame:
-    return layout.column_groups(i.words(s, d), 45).select(*WORD, "h_group")
+    return layout.column_groups(i.words(s, d), i.PAGE_WIDTH).select(*WORD, "h_group")
 
 
 def w04_virtual_panels(s: S, d: str) -> DataFrame:
     return layout.virtual_panels(i.words(s, d), 960, 600).select(*WORD, "panel")
 
 
-def w05_aligned_groups(s: S, d: str) -> DataFrame:
-    return layout.aligned_groups(layout.column_groups(i.words(s, d), 15))
-
-
 def w07_continuations(s: S, d: str) -> DataFrame:
     r = i.regions(s, d).withColumn("panel", (C("x0") >= 350).cast("int")).withColumn("has_header", C("label") == "table")
     return layout.continuation_groups(r, 1200, 600).select("page", "ann_idx", "region_group")
@@ -87,19 +83,6 @@ def w10_text_columns(s: S, d: str) -> DataFrame:
     return layout.text_columns(i.words(s, d)).select(*WORD, "text_column")
 
 
-def w11_lines(s: S, d: str) -> DataFrame:
-    return layout.lines(i.words(s, d))
-
-
-def w12_paragraphs(s: S, d: str) -> DataFrame:
-    w = i.words(s, d)
-    return layout.paragraphs(w, layout.lines(w))
-
-
-def w13_promoted(s: S, d: str) -> DataFrame:
-    return layout.promoted_labels(i.words(s, d))
-
-
 def w14_chunk_starts(s: S, d: str) -> DataFrame:
     return layout.chunk_starts(i.words(s, d).groupBy("page").agg(F.count("*").alias("n")), "n")
 
@@ -113,12 +96,6 @@ def w16_majority(s: S, d: str) -> DataFrame:
     return layout.majority_vote(i.words(s, d), ["page", "y0"], "layout_label", "ocr_index")
 
 
-def a02_blocks(s: S, d: str) -> DataFrame:
-    w = i.words(s, d)
-    ln = layout.lines(w)
-    return layout.blocks(w, layout.paragraphs(w, ln), ln)
-
-
 # Tables.
 def t02_assemble(s: S, d: str) -> DataFrame:
     tokens = i.words(s, d).select(C("page").alias("table_key"), F.floor(C("y0") / 100).cast("int").alias("row_no"), F.floor(C("x0") / 200).cast("int").alias("col_no"), "x0", "y0", "y1", "ocr_index", "text")
@@ -294,16 +271,16 @@ def oracle_sql() -> dict[str, str]:
         "w01_reading_order": f"SELECT page, ocr_index, CAST(row_number() OVER (PARTITION BY page ORDER BY round_even({cy} / 8, 0), x0, ocr_index) - 1 AS INT) AS reading_no FROM words",
         "w02_vertical_groups": f""", med AS (SELECT page, list_sort(list(y1 - y0))[count(*) // 2 + 1] AS h FROM words GROUP BY page), f AS (SELECT page, ocr_index, {cy} AS cy, CASE WHEN {cy} - lag({cy}) OVER (PARTITION BY page ORDER BY {cy}, ocr_index) > greatest(3.0 * h, 20) THEN 1 ELSE 0 END AS new FROM words JOIN med USING (page))
             SELECT page, ocr_index, CAST(sum(new) OVER (PARTITION BY page ORDER BY cy, ocr_index) AS BIGINT) AS v_group FROM f""",
-        "w03_column_groups": f""", f AS (SELECT page, ocr_index, {cx} AS cx, CASE WHEN x0 - max(x1) OVER (PARTITION BY page ORDER BY {cx}, ocr_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 45 THEN 1 ELSE 0 END AS new FROM words)
+        "w03_column_groups": f""", f AS (SELECT page, ocr_index, {cx} AS cx, CASE WHEN x0 - max(x1) OVER (PARTITION BY page ORDER BY {cx}, ocr_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > greatest(2 * list_sort(list(x1 - x0) OVER (PARTITION BY page))[count(*) OVER (PARTITION BY page) // 2 + 1], 0.05 * 960) THEN 1 ELSE 0 END AS new FROM words)
             SELECT page, ocr_index, CAST(sum(new) OVER (PARTITION BY page ORDER BY cx, ocr_index) AS BIGINT) AS h_group FROM f""",
-        "w04_virtual_panels": f""", f AS (SELECT *, x0 - max(x1) OVER o AS gap, (x0 + max(x1) OVER o) / 2 AS mid FROM words WHERE ocr_index < 24 WINDOW o AS (PARTITION BY page ORDER BY x0, x1, ocr_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        "w04_virtual_panels": f""", f AS (SELECT *, x0 - max(x1) OVER o AS gap, (x0 + max(x1) OVER o) / 2 AS mid FROM words WINDOW o AS (PARTITION BY page ORDER BY x0, x1, ocr_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
             seams AS (SELECT page, max(struct_pack(gap := gap, mid := mid)) AS s FROM f WHERE gap >= 0.04 * 960 AND mid BETWEEN 0.4 * 960 AND 0.6 * 960 GROUP BY page),
             sided AS (SELECT f.page, ocr_index, {cx} AS cx, s.mid AS seam, count(*) FILTER ({cx} < s.mid) OVER (PARTITION BY f.page) AS l, count(*) FILTER ({cx} >= s.mid) OVER (PARTITION BY f.page) AS r FROM f LEFT JOIN seams USING (page))
             SELECT page, ocr_index, CASE WHEN seam IS NOT NULL AND l >= 5 AND r >= 5 AND cx >= seam THEN 1 ELSE 0 END AS panel FROM sided""",
         "w07_continuations": """, f AS (SELECT *, CASE WHEN x0 >= 350 THEN 1 ELSE 0 END AS panel, label = 'table' AS hh FROM regions),
             g AS (SELECT page, ann_idx, panel, y0, x0, CASE WHEN lag(panel) OVER o <> panel AND lag(y1) OVER o >= 900 AND y0 <= 360 AND lag(hh) OVER o AND NOT hh AND abs((x1 - x0) - (lag(x1) OVER o - lag(x0) OVER o)) / 600.0 <= 0.25 THEN 0 ELSE 1 END AS new FROM f WINDOW o AS (PARTITION BY page ORDER BY panel, y0, x0))
             SELECT page, ann_idx, CAST(sum(new) OVER (PARTITION BY page ORDER BY panel, y0, x0 ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS region_group FROM g""",
-        "w08_region_headers": f"SELECT table_key, count(*) FILTER (regexp_matches(text, '(19|20)\\d{{2}}')) >= 2 OR coalesce(bool_or({_has('text', tuple(dict.fromkeys(DEFAULT.header_words + DEFAULT.metric_words)))}), false) AS has_header FROM cells WHERE row_no < 2 GROUP BY table_key",
+        "w08_region_headers": f"SELECT table_key, count(*) FILTER (regexp_matches(text, '(19|20)\\d{{2}}')) >= 2 OR coalesce(bool_or({_has('text', tuple(dict.fromkeys(DEFAULT.header_words + DEFAULT.metric_words)))}), false) AS has_header FROM cells GROUP BY table_key",
         "w10_text_columns": """, flow AS (SELECT *, row_number() OVER o AS n, lead(x0) OVER o AS nxt, max(x1) OVER (PARTITION BY page ORDER BY x0, ocr_index ROWS UNBOUNDED PRECEDING) AS rgt FROM words WHERE layout_label IN ('text', 'header', 'toc', 'figure') WINDOW o AS (PARTITION BY page ORDER BY x0, ocr_index)),
             cuts AS (SELECT page, max(struct_pack(gap := nxt - x0, k := -n, at := (x0 + nxt) / 2)) AS a, max(struct_pack(gap := nxt - rgt, k := -n, at := (rgt + nxt) / 2)) AS b, count(*) + 1 AS nf FROM flow WHERE nxt IS NOT NULL GROUP BY page),
             j AS (SELECT w.page, w.ocr_index, w.x0, a, b, nf, count(*) OVER p AS nw, count(*) FILTER (w.x0 < a.at) OVER p AS al, count(*) FILTER (w.x0 >= a.at) OVER p AS ar, count(*) FILTER (w.x0 < b.at) OVER p AS bl, count(*) FILTER (w.x0 >= b.at) OVER p AS br FROM words w LEFT JOIN cuts USING (page) WINDOW p AS (PARTITION BY w.page)),
@@ -327,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "f05_structure": f"SELECT table_key, max(row_no) + 1 AS n_rows, max(col_no) + 1 AS n_cols, CASE WHEN max(row_no) + 1 < 1 THEN 'few_rows' WHEN max(col_no) + 1 < 2 THEN 'few_cols' WHEN NOT bool_or(coalesce({numeric}, false)) THEN 'no_numeric_cell' END AS reason FROM cells GROUP BY table_key",
         "f08_route": f", b AS (SELECT block_key, lower(coalesce(type, 'text')) AS k, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS text FROM blocks) SELECT block_key, CASE WHEN k = 'toc' THEN 'toc' WHEN k IN ('table', 'table_text') OR length(text) < 5 THEN (CASE WHEN k IN ('header', 'footer') THEN k ELSE 'skipped' END) WHEN k IN ('header', 'footer') AND NOT {_ELIGIBLE} THEN k ELSE 'classified' END AS section FROM b",
         "r01_resolve": f", {_RESOLVED} SELECT page, block_id, scope, scope_id, round(confidence, 3) AS confidence, scope_source, decision_reason FROM resolved",
-        "r02_table_scope": f""", {_RESOLVED}, v AS (SELECT page AS table_key, CASE WHEN scope <> 'Other' THEN scope END AS s, CASE WHEN scope <> 'Other' THEN confidence END AS c FROM resolved WHERE page % 2 = 0 OR scope = 'Other'),
+        "r02_table_scope": f""", {_RESOLVED}, v AS (SELECT page AS table_key, CASE WHEN scope <> 'Other' THEN scope END AS s, CASE WHEN scope <> 'Other' THEN confidence END AS c FROM resolved),
             a AS (SELECT table_key, count(DISTINCT s) AS n, min(s) AS one, min(c) AS low, avg(c) AS mean FROM v GROUP BY table_key)
             SELECT table_key, CASE WHEN n > 1 THEN 'Mixed' WHEN n = 1 THEN one ELSE 'Other' END AS scope, round(round(CASE WHEN n > 1 THEN low WHEN n = 1 THEN mean ELSE 0.0 END, 3), 2) AS confidence, CASE WHEN n > 1 THEN 'row_consensus_mixed' WHEN n = 1 THEN 'row_consensus' ELSE 'unresolved' END AS scope_source FROM a""",
         "a04_scope_shares": f", {_RESOLVED}, c AS (SELECT scope, count(*) AS n FROM resolved GROUP BY scope) SELECT scope, n, round(100.0 * n / sum(n) OVER (), 4) AS pct, CAST(row_number() OVER (ORDER BY n DESC, scope) AS INT) AS place FROM c",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.runtime import table
 
+PAGE_WIDTH, PAGE_HEIGHT = 960, 1220  # of the derived words
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 

@@ -20,13 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> D
     return spread(df, df.columns[0]) if heavy else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is the one of `spark.checkpoint.dir`; only a session without one (tests on a single machine) gets
-    its own.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share: the one that is set, else that of
+    `spark.checkpoint.dir`. Only a local session without either (tests on a single machine) gets its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -34,6 +31,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="factloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -82,9 +82,11 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 
 def html_table(df: DataFrame, title: str, most: int = 200) -> str:
-    """S-15, S-16: a thin HTML page over the first rows of a summary."""
+    """S-15, S-16: a thin HTML page over a summary; beyond `most` rows it says how many there are and shows the first."""
     esc = lambda x: str("" if x is None else x).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    rows = df.limit(most).collect()
+    rows = df.limit(most + 1).collect()
+    note = f"<p>The first {most} of {df.count()} rows.</p>" if len(rows) > most else ""
+    rows = rows[:most]
     head = "".join(f"<th>{esc(c)}</th>" for c in df.columns)
     body = "".join("<tr>" + "".join(f"<td>{esc(v)}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!doctype html><meta charset='utf-8'><title>{esc(title)}</title><h1>{esc(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    return f"<!doctype html><meta charset='utf-8'><title>{esc(title)}</title><h1>{esc(title)}</h1>{note}<table><tr>{head}</tr>{body}</table>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from factloom.runtime import shared_folder
+
+# What the lines of a run's log look like.
 PAGE_PROGRESS = r"(?:page|Page|trang)\s*(\d+)\s*(?:/|of|trên)\s*(\d+)"
-COMPLETED = r"(?:Completed|✅|Hoàn tất|Done)"
 ERROR = r"(?:Error|❌|Lỗi|failed|Failed)"
 WARNING = r"(?:Warning|⚠️|Cảnh báo)"
 
@@ -75,16 +77,22 @@ def after(events: DataFrame, last_id: int) -> DataFrame:
     return events.filter(F.col("event_id") > last_id)
 
 
+#: Status of a run -> status of its steps before, at and after the current one.
+STEP_STATUS = {
+    "completed": ("completed", "completed", "completed"),
+    "running": ("completed", "running", "queued"),
+    "failed": ("completed", "failed", "queued"),
+    "cancelled": ("completed", "cancelled", "cancelled"),
+}
+WAITING = ("completed", "queued", "queued")  # of any other run
+
+
 def step_status(status: Column, current: Column, i: Column) -> Column:
-    """Z-07: status of step i of a run."""
-    return (
-        F.when(status == "completed", "completed")
-        .when(status == "failed", F.when(i == current, "failed").when(i < current, "completed").otherwise("queued"))
-        .when(status == "cancelled", F.when(i >= current, "cancelled").otherwise("completed"))
-        .when(i < current, "completed")
-        .when(i == current, F.when(status == "running", "running").otherwise("queued"))
-        .otherwise("queued")
-    )
+    """Z-07: status of step i of a run, looked up by the run's status and by which side of the current step it is on. A run
+    without current step hasn't begun; its steps come after."""
+    by_run = F.create_map(*[x for run, steps in STEP_STATUS.items() for x in (F.lit(run), F.array(*map(F.lit, steps)))])
+    side = 1 + F.signum(i - F.coalesce(current, F.lit(-1))).cast("int")
+    return F.get(F.coalesce(F.try_element_at(by_run, status), F.array(*map(F.lit, WAITING))), side)
 
 
 def run_state(events: DataFrame, key: str = "user_id", status: str = "event_type") -> DataFrame:
@@ -92,13 +100,45 @@ def run_state(events: DataFrame, key: str = "user_id", status: str = "event_type
     return events.groupBy(key).agg(F.max_by(status, "event_id").alias("status"), F.max("event_id").alias("event_id"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Z-06, Z-09: runs a stream over all that is there and returns its result; for results of bounded size.
+#: Z-08: the states a run may go to from each state; "" is a run not seen before.
+NEXT = {
+    "": ("idle", "uploaded"), "idle": ("uploaded",), "uploaded": ("starting", "cancelled"), "starting": ("running", "failed", "cancelled"),
+    "running": ("completed", "failed", "cancelled"), "failed": ("starting",), "cancelled": ("starting",), "completed": (),
+}
+FINAL = ("completed", "failed", "cancelled")
+
 
-    The checkpoint is below spark.checkpoint.dir where that is set."""
+def transitions(events: DataFrame, key: str = "run_id", status: str = "status", order: str = "event_id") -> DataFrame:
+    """Z-08: each event with the state before it and whether the step is allowed (a failed or cancelled run may start again,
+    a completed one never). A status repeated is no step. Null and unknown states are never allowed."""
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.coalesce(F.lag(status).over(w), F.lit(""))
+    allowed = F.create_map(*[x for a, to in NEXT.items() for x in (F.lit(a), F.array(*map(F.lit, to)).cast("array<string>"))])
+    ok = F.coalesce((before == F.col(status)) | F.array_contains(F.try_element_at(allowed, before), F.col(status)), F.lit(False))
+    return events.withColumn("before", before).withColumn("allowed", ok)
+
+
+def until_final(events: DataFrame, key: str = "run_id", status: str = "status", order: str = "event_id") -> DataFrame:
+    """Z-06: what a reader of a run's events gets: all up to the first final status, none after it."""
+    ended = F.max(F.col(status).isin(*FINAL).cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return events.withColumn("_ended", ended).filter("coalesce(_ended, 0) = 0").drop("_ended")
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
+    """Z-06, Z-09: runs a stream over all that is there and returns its result, written as Parquet a batch below the shared
+    folder: the last batch of a complete result, all of an update or append one. A batch run again replaces its own."""
     spark = stream.sparkSession
-    folder = checkpoint or spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="factloom-stream-")
-    spark.sql(f"drop view if exists {name}")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder.rstrip('/')}/{name}-{pd.Timestamp.now().value}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder = f"{(checkpoint or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    complete = mode == "complete"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result" if complete else f"{folder}/result/batch={number}")
+
+    begun = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode)
+    begun.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    empty = spark.createDataFrame([], stream.schema)
+    found = spark.read.schema(stream.schema).option("ignoreMissingFiles", "true")
+    exists = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/result")
+    if not exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists):
+        return empty
+    return found.parquet(f"{folder}/result").select(*stream.columns)
