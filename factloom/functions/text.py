@@ -92,8 +92,19 @@ def invalid_metric(c: Column, config: Config = DEFAULT) -> Column:
 
 
 def fingerprint(*columns: Column | str) -> Column:
-    """X-15: SHA-256 over the canonical JSON of the columns, in the order given; null fields are left out."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+    """X-15: SHA-256 over the canonical JSON of the columns, in the order given; null fields as null."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def table_fingerprint(page: Column, table_id: Column, table_data: Column, bbox: Column | None = None, segments: Column | None = None) -> Column:
+    """X-15: SHA-256 over the canonical JSON of what makes a table: its fields in alphabetical order, null ones as null;
+    missing segments and cells as empty lists."""
+    empty = F.array().cast("array<string>")
+    fields = {
+        "bbox": F.lit(None).cast("string") if bbox is None else bbox, "page": page, "segments": empty if segments is None else F.coalesce(segments, F.array()),
+        "table_data": F.coalesce(table_data, F.array()), "table_id": table_id,
+    }
+    return F.sha2(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"}), 256)
 
 
 def safe_filename(c: Column) -> Column:

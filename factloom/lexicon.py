@@ -22,7 +22,12 @@ class Config:
     total_words: tuple[str, ...] = ("total", "subtotal", "grand total")
     header_words: tuple[str, ...] = ("metric", "indicator", "description", "item", "note", "notes", "unit", "year", "scope", "category", "kpi")
     dataset_words: tuple[str, ...] = ("emission", "emissions", "ghg", "greenhouse", "carbon", "climate", "energy", "electricity", "diesel", "fuel", "travel", "waste", "water", "sustainability", "net zero", "renewable", "governance", "strategy", "policy", "environment", "scope", "supply chain", "procurement", "logistics", "commuting", "fleet", "steam", "heat", "cooling", "power")
+    rescue_words: tuple[str, ...] = ("scope 1", "scope 2", "scope 3", "emission", "emissions", "ghg", "carbon", "electricity", "diesel", "fuel", "travel", "waste", "water")
     noise_patterns: tuple[str, ...] = ("table of contents", "copyright", "all rights reserved", "page number", "header", "footer", "company address", "contact us", r"www\.", "http", "logo", "chapter", "contents", "index", "title", "slogan", "message from", "chairman", "ceo", "president", "board", "management", "governance", "strategy")
+    strong_words: tuple[str, ...] = ("emission", "emissions", "ghg", "carbon", "greenhouse", "climate", "energy", "electricity")
+    short_words: tuple[str, ...] = ("emission", "emissions", "scope", "energy", "electricity", "travel", "waste", "water", "carbon")
+    other_words: tuple[str, ...] = ("climate", "energy", "emission", "sustainability", "renewable", "net zero", "strategy", "policy", "governance")
+    other_topics: tuple[str, ...] = ("waste", "water", "travel", "supply chain", "commuting", "procurement", "logistics")
     class_targets: tuple[tuple[str, int], ...] = (("Scope 1", 1000), ("Scope 2", 1000), ("Scope 3", 1700), ("Other", 1700))
     temperature: float = 5.0
     scope_confidence: float = 0.60

@@ -82,6 +82,17 @@ def rank_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "loss", "run")))
 
 
+def throughput(runs: DataFrame, by: str, tokens: str, seconds: str) -> DataFrame:
+    """M-10: tokens a second of each group; groups without time: null."""
+    return runs.groupBy(by).agg(F.sum(tokens).alias("n_tokens"), F.round(F.try_divide(F.sum(tokens), F.sum(seconds)), 4).alias("tokens_per_second"))
+
+
+def generalisation_gap(scores: DataFrame, by: str, part: str, score: str) -> DataFrame:
+    """M-10: mean score on train less that on validation, by group; null where one of them is missing."""
+    mean = lambda x: F.avg(F.when(F.col(part) == x, F.col(score)))
+    return scores.groupBy(by).agg(F.round(mean("train"), 6).alias("train"), F.round(mean("validation"), 6).alias("validation"), F.round(mean("train") - mean("validation"), 6).alias("gap"))
+
+
 def extraction_accuracy(expected: DataFrame, got: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """M-13: shares of expected records found, of found ones expected, and of equal fields among both."""
     e, g = expected.withColumn("_e", F.lit(1)), got.withColumnsRenamed({f: f"got_{f}" for f in fields}).withColumn("_g", F.lit(1))

@@ -92,6 +92,26 @@ def combine_segments(cells: DataFrame, segments: DataFrame) -> DataFrame:
     return cells.join(offset, "table_key").select("group_id", (F.col("row_no") + F.col("offset")).cast("int").alias("row_no"), "col_no", "text")
 
 
+def pad(cells: DataFrame, by: str) -> DataFrame:
+    """T-06: every row of a group as wide as its widest one, '' where there was no cell; null cells stay null."""
+    size = cells.groupBy(by).agg(F.max("col_no").alias("_last"))
+    rows = cells.groupBy(by, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("_row")).join(size, by)
+    full = rows.select(by, "row_no", "_row", F.explode(F.sequence(F.lit(0), "_last")).alias("col_no"))
+    return full.select(by, "row_no", "col_no", F.when(F.map_contains_key("_row", F.col("col_no")), F.element_at("_row", F.col("col_no"))).otherwise("").alias("text"))
+
+
+def segment_totals(cells: DataFrame, segments: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """T-06: of each group the number of segments, rows, columns and numeric cells, the sum of their times, and whether a
+    cell of any segment holds one of the table words. segments: table_key, group_id, tatr_time."""
+    c = cells.groupBy("table_key").agg(
+        (F.max("row_no") + 1).alias("n_rows"), (F.max("col_no") + 1).alias("n_cols"), F.count_if(n.is_numeric_lenient(F.col("text"))).alias("n_numeric"),
+        F.bool_or(t.contains_any(F.col("text"), config.table_words)).alias("is_esg"),
+    )
+    j = segments.join(c, "table_key")
+    sums = [F.sum(x).alias(x) for x in ("n_rows", "n_numeric")]
+    return j.groupBy("group_id").agg(F.count("*").alias("n_segments"), *sums, F.max("n_cols").alias("n_cols"), F.sum("tatr_time").alias("tatr_time"), F.bool_or("is_esg").alias("is_esg"))
+
+
 def _cell(c: DataFrame, config: Config) -> DataFrame:
     clean_ = t.normalize_text(F.col("text"))
     return c.select(

@@ -31,6 +31,17 @@ def first_words(words: DataFrame, n: int = 80) -> DataFrame:
     return w.groupBy("page").agg(F.count("*").alias("n_words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= n, F.struct("k", "text")))), lambda x: x["text"]), " ").alias("first_words"))
 
 
+def label_counts(words: DataFrame) -> DataFrame:
+    """A-06: (page, labels): counts of the layout labels of a page, as a sorted array of label:n."""
+    a = words.groupBy("page", "layout_label").agg(F.count("*").alias("n"))
+    return a.groupBy("page").agg(F.array_sort(F.collect_list(F.concat_ws(":", "layout_label", "n"))).alias("labels"))
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """K-03: the first n rows of each group."""
+    return df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("k") <= n)
+
+
 def table_summary(tables: DataFrame) -> DataFrame:
     """A-07, Q-3: (n_tables, n_pages, n_cells, n_esg); pages are counted, not tables."""
     return tables.agg(F.count("*").alias("n_tables"), F.count_distinct("report_id", "page").alias("n_pages"), F.sum(F.col("rows").cast("long") * F.col("cols")).alias("n_cells"), F.count_if("is_esg").alias("n_esg"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as t
 from factloom.functions import vectors as v
-from factloom.functions.numbers import is_numeric_lenient
 from factloom.lexicon import DEFAULT, SCOPES, Config
 
 
@@ -96,7 +95,7 @@ def table_scope(rows: DataFrame, table_id: str = "table_key") -> DataFrame:
     the least confidence, one: that with the mean; none: Other, 0, unresolved."""
     vote = F.when(F.col("scope") != "Other", F.col("scope"))
     sure = F.when(F.col("scope") != "Other", F.col("confidence"))
-    a = rows.groupBy(table_id).agg(F.count_distinct(vote).alias("n"), F.min(vote).alias("one"), F.min(sure).alias("low"), F.avg(sure).alias("mean"))
+    a = rows.groupBy(table_id).agg(F.when(F.min(vote) != F.max(vote), 2).when(F.min(vote).isNotNull(), 1).otherwise(0).alias("n"), F.min(vote).alias("one"), F.min(sure).alias("low"), F.avg(sure).alias("mean"))
     return a.select(
         table_id,
         F.when(F.col("n") > 1, "Mixed").when(F.col("n") == 1, F.col("one")).otherwise("Other").alias("scope"),
@@ -141,10 +140,3 @@ def trend(points: DataFrame, keys: list[str], x: str = "year", y: str = "value")
     """R-07: slope of a series by least squares, its direction, and the sign of each last step."""
     a = points.groupBy(*keys).agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.count("*").alias("n"))
     return a.withColumn("direction", F.expr("case when slope is null or slope = 0 then 'flat' when slope > 0 then 'up' else 'down' end"))
-
-
-def numeric_rows(cells: DataFrame, table_id: str = "table_key") -> DataFrame:
-    """F-04, F-06: per table the number of numeric cells."""
-    return cells.groupBy(table_id).agg(F.count_if(is_numeric_lenient(F.col("text"))).alias("n_numeric"))
-
-

@@ -113,10 +113,19 @@ def k09_label_diff(s: S, d: str) -> DataFrame:
 
 
 # Lineage.
+def _fingerprints(df: DataFrame) -> DataFrame:
+    return df.select("table_key", t.table_fingerprint(C("page"), C("table_id"), C("table_data")).alias("sha"))
+
+
+def x15_table_fingerprint(s: S, d: str) -> DataFrame:
+    return _fingerprints(table(s, d, "all_tables"))
+
+
 def j07_fingerprint_diff(s: S, d: str) -> DataFrame:
-    a = table(s, d, "all_tables").select("table_key", t.fingerprint("table_key", "rows", "cols").alias("sha"))
-    b = table(s, d, "all_tables").filter("table_key % 7 <> 0").select("table_key", t.fingerprint("table_key", F.expr("rows + cast(table_key % 5 = 0 as int)").alias("rows"), "cols").alias("sha"))
-    return lineage.fingerprint_diff(a, b, ["table_key"]).select("table_key", "why")
+    """A second source without some tables and with one cell changed in others."""
+    cell = F.transform("table_data", lambda r, i: F.transform(r, lambda x, j: F.when((i == 0) & (j == 0) & (C("table_key") % 5 == 0), F.concat(x, F.lit("x"))).otherwise(x)))
+    other = table(s, d, "all_tables").filter("table_key % 7 <> 0").withColumn("table_data", cell)
+    return lineage.fingerprint_diff(_fingerprints(table(s, d, "all_tables")), _fingerprints(other), ["table_key"]).select("table_key", "why")
 
 
 def j08_page_names(s: S, d: str) -> DataFrame:
@@ -231,9 +240,12 @@ def d11_split(s: S, d: str) -> DataFrame:
     return dataset.split(table(s, d, "scope_dataset_balanced").select("row_id", "scope")).select("row_id", "fold")
 
 
+def d11_stratified(s: S, d: str) -> DataFrame:
+    return dataset.stratified_split(table(s, d, "scope_dataset_balanced").select("row_id", "scope")).select("row_id", "fold")
+
+
 def d12_split_leaks(s: S, d: str) -> DataFrame:
-    f = dataset.split(table(s, d, "scope_dataset_balanced").select("row_id", "scope"))
-    return f.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("n_keys"))
+    return dataset.split_leaks(table(s, d, "scope_dataset_balanced").select("text", "split"))
 
 
 def d13_token_stats(s: S, d: str) -> DataFrame:
@@ -364,17 +376,19 @@ def s22_upload_ok(s: S, d: str) -> DataFrame:
     return r.select("report_id", files.upload_ok(F.when(C("year") % 4 == 0, F.concat("path", F.lit(".exe"))).otherwise(C("path")), content).alias("ok"))
 
 
-OWN = [f for name, f in list(globals().items()) if callable(f) and name[0] in "awkjvdmzs" and name[1:3].isdigit()]
+OWN = [f for name, f in list(globals().items()) if callable(f) and name[0] in "awkjvdmzsx" and name[1:3].isdigit()]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OWN}
 
 
+_json = lambda x: f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+_SHA = "sha256('{{\"bbox\":null,\"page\":' || " + _json("page") + " || ',\"segments\":[],\"table_data\":' || coalesce(CAST(to_json({}) AS VARCHAR), '[]') || ',\"table_id\":' || " + _json("table_id") + " || '}}')"
 _WORDS = f"len(CASE WHEN {_norm('text')} = '' THEN [] ELSE string_split({_norm('text')}, ' ') END)"
 _STATS = f"round(avg({_WORDS}), 4) AS mean, CAST(min({_WORDS}) AS INT) AS least, CAST(max({_WORDS}) AS INT) AS most, round(quantile_cont({_WORDS}, 0.25), 4) AS q1, round(quantile_cont({_WORDS}, 0.5), 4) AS median, round(quantile_cont({_WORDS}, 0.75), 4) AS q3"
 _LABELLED = "labelled AS (SELECT row_id, block_id, type, semantic_score, matched_chunk, text, coalesce(scope, 'Other') AS scope FROM label_scope_dataset)"
-_KEEP = f"({_MEANINGFUL} OR coalesce({_has('text', DEFAULT.dataset_words)}, false))"
+_KEEP = f"({_MEANINGFUL} OR {_has(_norm('text'), DEFAULT.rescue_words)})"
 
 
 def _uniq(source: str, by: str) -> str:
@@ -388,9 +402,9 @@ _count = lambda x: f"(CASE WHEN {x} = '' THEN 0 ELSE len(string_split({x}, ' '))
 _if = lambda c, v: f"CASE WHEN {c} THEN {v} ELSE 0.0 END"
 _KIND = "lower(trim(coalesce(type, '')))"
 _QUALITY = " + ".join([
-    "coalesce(semantic_score * 2.0, 0.0)", f"CASE WHEN {_count(_LOW)} >= 6 THEN 0.2 WHEN {_count(_LOW)} >= 3 THEN 0.1 ELSE 0.0 END", _if(_has(_BOTH, DEFAULT.dataset_words), 0.35), _if(_has(_BOTH, dataset.STRONG), 0.5),
+    "coalesce(semantic_score * 2.0, 0.0)", f"CASE WHEN {_count(_LOW)} >= 6 THEN 0.2 WHEN {_count(_LOW)} >= 3 THEN 0.1 ELSE 0.0 END", _if(_has(_BOTH, DEFAULT.dataset_words), 0.35), _if(_has(_BOTH, DEFAULT.strong_words), 0.5),
     f"CASE WHEN {_KIND} = 'text' THEN 0.15 WHEN {_KIND} = 'figure' THEN -0.15 ELSE 0.0 END", _if(f"{_count(_CHUNK)} >= 3 AND {_has(_CHUNK, DEFAULT.dataset_words)}", 0.2), _if(f"length({_LOW}) <= 8", -0.3),
-    _if(f"length({_LOW}) <= 20 AND NOT {_has(_LOW, dataset.SHORT_OK)}", -0.2), _if(f"scope = 'Other' AND {_has(_BOTH, dataset.OTHER_GOOD)}", 0.4), _if(f"scope = 'Other' AND {_has(_LOW, dataset.OTHER_TOPICS)}", 0.3), _if(f"scope = 'Other' AND NOT {_has(_BOTH, DEFAULT.dataset_words)}", -0.4),
+    _if(f"length({_LOW}) <= 20 AND NOT {_has(_LOW, DEFAULT.short_words)}", -0.2), _if(f"scope = 'Other' AND {_has(_BOTH, DEFAULT.other_words)}", 0.4), _if(f"scope = 'Other' AND {_has(_LOW, DEFAULT.other_topics)}", 0.3), _if(f"scope = 'Other' AND NOT {_has(_BOTH, DEFAULT.dataset_words)}", -0.4),
 ])
 _CLEANED = f"{_LABELLED}, kept AS (SELECT * FROM labelled WHERE {_KEEP}), ut AS ({_uniq('kept', _LOW)}), ub AS ({_uniq('ut', _BLOCK)}), cleaned AS (SELECT * FROM ub WHERE {_MEANINGFUL}), scored AS (SELECT *, round({_QUALITY}, 6) AS quality_score FROM cleaned)"
 _TARGET = "CASE scope " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DEFAULT.class_targets) + " END"
@@ -430,7 +444,10 @@ def oracle_sql() -> dict[str, str]:
         "k07_hash_sample": "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100",
         "k08_flat_rows": "SELECT source, type, count(*) AS n, count(text) AS n_text FROM (SELECT 'text_block' AS source, type, text FROM layoutlmv3_layout UNION ALL SELECT 'table', 'table', source_label FROM all_tables) GROUP BY ALL",
         "k09_label_diff": "WITH a AS (SELECT DISTINCT type FROM layoutlmv3_layout WHERE type IS NOT NULL), b AS (SELECT unnest([" + ", ".join(map(repr, LABELS)) + "]) AS type) SELECT type, 'unknown' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT type, 'missing' FROM (FROM b EXCEPT FROM a)",
-        "j07_fingerprint_diff": "SELECT table_key, CASE WHEN table_key % 7 = 0 THEN 'only_a' ELSE 'changed' END AS why FROM all_tables WHERE table_key % 7 = 0 OR table_key % 5 = 0",
+        "x15_table_fingerprint": f"SELECT table_key, {_SHA.format('table_data')} AS sha FROM all_tables",
+        "j07_fingerprint_diff": f"""WITH a AS (SELECT table_key, {_SHA.format('table_data')} AS sha, {_SHA.format('changed')} AS other FROM (SELECT *, CASE WHEN table_key % 5 = 0
+            THEN list_transform(table_data, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = 1 AND j = 1 THEN x || 'x' ELSE x END)) ELSE table_data END AS changed FROM all_tables))
+            SELECT table_key, CASE WHEN table_key % 7 = 0 THEN 'only_a' ELSE 'changed' END AS why FROM a WHERE table_key % 7 = 0 OR sha <> other""",
         "j08_page_names": f"SELECT block_key, {strip('page')} AS page_key FROM layoutlmv3_layout",
         "j09_page_documents": f"WITH b AS (SELECT report_id, {strip('page')} AS page, list_sort(list(block_key)) AS text_blocks FROM layoutlmv3_layout WHERE report_id IS NOT NULL GROUP BY ALL), t AS (SELECT report_id, {strip('page')} AS page, list_sort(list(table_key)) AS tables FROM all_tables WHERE report_id IS NOT NULL GROUP BY ALL) SELECT coalesce(b.report_id, t.report_id) AS report_id, coalesce(b.page, t.page) AS page, text_blocks, tables FROM b FULL JOIN t ON b.report_id = t.report_id AND b.page IS NOT DISTINCT FROM t.page",
         "j11_remaining": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0",
@@ -450,7 +467,15 @@ def oracle_sql() -> dict[str, str]:
         "d09_report": f"WITH {_CLEANED}, {_RANKED}, a AS (SELECT scope, count(*) AS before FROM scored GROUP BY scope), b AS (SELECT scope, count(*) AS after FROM chosen GROUP BY scope) SELECT scope, before, coalesce(after, 0) AS after FROM a LEFT JOIN b USING (scope)",
         "d10_encode": "SELECT row_id, CASE scope " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(SCOPES)) + " END AS label_id FROM scope_dataset_balanced",
         "d11_split": f"WITH {_SPLIT} SELECT row_id, fold FROM folds",
-        "d12_split_leaks": f"WITH {_SPLIT} SELECT fold, count(*) AS n, count(DISTINCT row_id) AS n_keys FROM folds GROUP BY fold",
+        "d11_stratified": """WITH r AS (SELECT row_id, (row_number() OVER (PARTITION BY scope ORDER BY md5('42|' || row_id), row_id) - 0.5) / count(*) OVER (PARTITION BY scope) AS q FROM scope_dataset_balanced)
+            SELECT row_id, CASE WHEN q < 0.8 THEN 'train' WHEN q < 0.8 + 0.1 THEN 'validation' ELSE 'test' END AS fold FROM r""",
+        "d12_split_leaks": f"""WITH o AS (SELECT split AS fold, {_LOW} AS key FROM scope_dataset_balanced), k AS (SELECT key FROM o WHERE key <> '' GROUP BY key HAVING count(DISTINCT fold) > 1)
+            SELECT fold, count(*) AS n, CAST(count(*) FILTER (fold IS NOT NULL AND key IN (FROM k)) AS BIGINT) AS n_leaked FROM o GROUP BY fold""",
+        "d08_oversample": f"""WITH {_CLEANED}, sh AS (SELECT scope, {_TARGET} - count(*) AS need FROM scored WHERE scope IN ('Scope 1', 'Scope 2') GROUP BY scope),
+            w AS (SELECT row_id, scored.scope, need, greatest(coalesce(quality_score, 0.0), 0.01) AS w FROM scored JOIN sh USING (scope) WHERE need > 0),
+            u AS (SELECT row_id, scope, need, w, sum(w) OVER (PARTITION BY scope ORDER BY md5('42|' || row_id), row_id ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY scope) AS upto FROM w),
+            c AS (SELECT row_id, scope, CAST(ceil(upto * need - {(42 * 0.6180339887498949) % 1.0!r}) - ceil(coalesce(lag(upto) OVER (PARTITION BY scope ORDER BY upto, row_id), 0.0) * need - {(42 * 0.6180339887498949) % 1.0!r}) AS INT) AS copies FROM u)
+            SELECT row_id, scope, copies FROM c WHERE copies > 0""",
         "d13_token_stats": f"SELECT split, {_STATS} FROM scope_dataset_balanced GROUP BY split",
         "m01_averages": f"WITH {_PRED}, {_CLASSES.format('0, 1, 2, 3, 4')} SELECT {_AVERAGES} FROM pc",
         "m02_without": f"WITH {_PRED}, {_CLASSES.format('0, 1, 2, 3')} SELECT {_AVERAGES} FROM pc WHERE label <> 0",

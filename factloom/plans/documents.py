@@ -315,6 +315,8 @@ def oracle_sql() -> dict[str, str]:
             coalesce({_activity("concat_ws(' ', f.metric_text, x.context)")}, 'Other') AS scope, f.is_esg FROM facts f LEFT JOIN row_texts x USING (table_key, row_no) LEFT JOIN all_tables a ON a.table_key = f.table_key LEFT JOIN report_files r ON r.report_id = a.report_id WHERE f.value IS NOT NULL""",
     }
     sql = {name: "WITH " + ", ".join(i.SQL[n] for n in out[name].split()) + " " + b for name, b in body.items()}
+    for name in ("j01_positional", "j02_word_regions"):  # read twice or joined on ranges: each relation is made once
+        sql[name] = sql[name].replace("words AS (", "words AS MATERIALIZED (", 1).replace("regions AS (", "regions AS MATERIALIZED (", 1)
     return sql | {
         "r05_merge_sources": """WITH r AS (SELECT site_code, indicator, year, CASE WHEN regexp_matches(type, '(?i)table') THEN 'table' WHEN regexp_matches(type, '(?i)chart|figure') THEN 'chart' ELSE 'text' END AS source, value FROM layoutlmv3_layout WHERE site_code IS NOT NULL AND value IS NOT NULL),
             k AS (SELECT *, CAST(row_number() OVER (PARTITION BY site_code, indicator, year ORDER BY CASE source WHEN 'table' THEN 1 WHEN 'chart' THEN 2 ELSE 3 END, value) AS INT) AS k FROM r),

@@ -99,7 +99,7 @@ PROJECTIONS: dict[str, tuple[str, list[str], Callable[[], list[tuple[str, Callab
     "x12_explicit_scopes": ("blocks", BLOCK, lambda: [("scopes", lambda: t.explicit_scopes(C("text")), _SCOPES)]),
     "x13_scope_context": ("blocks", BLOCK, lambda: [("hit", lambda: t.scope_context(C("text")), _CONTEXT)]),
     "x14_keywords": ("cells", CELL, lambda: [("hit", lambda: t.contains_any(C("text"), DEFAULT.table_words), f"coalesce({_has('text', DEFAULT.table_words)}, false)")]),
-    "x15_fingerprint": ("blocks", BLOCK, lambda: [("sha", lambda: t.fingerprint("page", "block_id"), "sha256('{\"page\":\"' || page || '\",\"block_id\":' || block_id || '}')")]),
+    "x15_fingerprint": ("blocks", BLOCK, lambda: [("sha", lambda: t.fingerprint("page", "block_id", "report_id"), "sha256('{\"page\":' || coalesce('\"' || page || '\"', 'null') || ',\"block_id\":' || block_id || ',\"report_id\":' || coalesce('\"' || report_id || '\"', 'null') || '}')")]),
     "x16_safe_filename": ("blocks", BLOCK, lambda: [("name", lambda: t.safe_filename(C("report_id")), "CASE WHEN coalesce(trim(left(regexp_replace(report_id, '[^\\p{L}\\p{Nd}._\\- ]', '', 'g'), 100)), '') = '' THEN 'untitled' ELSE trim(left(regexp_replace(report_id, '[^\\p{L}\\p{Nd}._\\- ]', '', 'g'), 100)) END")]),
     "x17_format_duration": ("words", WORD, lambda: [("shown", lambda: n.format_duration(C("x0") * 13 - 100), "CASE WHEN x0 * 13 - 100 < 0 THEN '--:--' WHEN x0 * 13 - 100 < 3600 THEN printf('%d:%02d', (x0 * 13 - 100) // 60, (x0 * 13 - 100) % 60) ELSE printf('%d:%02d:%02d', (x0 * 13 - 100) // 3600, ((x0 * 13 - 100) % 3600) // 60, (x0 * 13 - 100) % 60) END")]),
     "x20_kb_clean": ("pages", PAGE, lambda: [("clean", lambda: t.kb_clean(C("text")), _trim(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{_S}+', ' ', 'g'), '\\b\\d+( ?)$', '\\1'), '_+', ' ', 'g'), '\\.{{2,}}', '.', 'g'), ',{{2,}}', ',', 'g'), ';{{2,}}', ';', 'g')"))]),

@@ -31,23 +31,30 @@ def ocr_words(spark: SparkSession, path: str) -> DataFrame:
 def coco(spark: SparkSession, path: str) -> DataFrame:
     """S-07, E5: annotations with file and label: image_id, file_name, width, height, label, corners, ann_idx."""
     schema = "images array<struct<id:long,file_name:string,width:int,height:int>>, annotations array<struct<image_id:long,category_id:long,bbox:array<double>>>, categories array<struct<id:long,name:string>>"
-    d = json_document(spark, path, schema)
-    i = d.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
-    c = d.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
-    a = d.select(F.posexplode("annotations").alias("ann_idx", "a")).select("ann_idx", "a.image_id", "a.category_id", "a.bbox")
+    d = json_document(spark, path, schema).withColumn("doc", F.col("_metadata.file_path"))  # ids hold within their document
+    i = d.select("doc", F.explode("images").alias("i")).select("doc", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
+    c = d.select("doc", F.explode("categories").alias("c")).select("doc", F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
+    a = d.select("doc", F.posexplode("annotations").alias("ann_idx", "a")).select("doc", "ann_idx", "a.image_id", "a.category_id", "a.bbox")
     b = [F.get("bbox", F.lit(k)) for k in range(4)]
-    return a.join(i, "image_id").join(c, "category_id", "left").select("image_id", "file_name", "width", "height", "label", b[0].alias("x0"), b[1].alias("y0"), (b[0] + b[2]).alias("x1"), (b[1] + b[3]).alias("y1"), "ann_idx")
+    return a.join(i, ["doc", "image_id"]).join(c, ["doc", "category_id"], "left").select("image_id", "file_name", "width", "height", "label", b[0].alias("x0"), b[1].alias("y0"), (b[0] + b[2]).alias("x1"), (b[1] + b[3]).alias("y1"), "ann_idx")
+
+
+def page_rows(documents: DataFrame) -> DataFrame:
+    """S-10: a row per page: document, page, text; documents without pages have none."""
+    p = documents.select("document", F.explode("pages").alias("p"))
+    return p.select("document", F.col("p.page").alias("page"), F.col("p.text").alias("text"))
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """S-08, S-09: CSV with header, quoted line breaks allowed."""
-    r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+    r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     return (r.schema(schema) if schema else r).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """S-14: CSV with header; the columns keep their order."""
-    df.write.mode("overwrite").option("header", "true").option("escape", '"').option("encoding", "UTF-8").csv(path)
+    """S-14: CSV with header; the columns keep their order, texts their white space."""
+    w = df.write.mode("overwrite").option("header", "true").option("escape", '"').option("encoding", "UTF-8")
+    w.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_run(df: DataFrame, path: str, run: str = "run_id") -> None:
