@@ -216,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "z08_transitions": f"WITH {states}, b AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY run_id ORDER BY event_id), '') AS before FROM st) SELECT *, before = status OR {allowed} AS allowed FROM b",
         "s04_s06_ocr_words": f"WITH {i.SQL['words']} SELECT page, ocr_index, text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, x0 % 100 / 100 AS conf FROM words",
         "s07_coco": f"WITH {i.SQL['regions']} SELECT page AS image_id, page || '.jpg' AS file_name, 920 AS width, 1210 AS height, CASE WHEN label IN ('table', 'text', 'figure') THEN label END AS label, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM regions",
-        "s08_s09_csv": "SELECT row_id, block_id, text, semantic_score FROM label_scope_dataset",
+        "s08_s09_csv": "SELECT row_id, nullif(block_id, '') AS block_id, nullif(text, '') AS text, semantic_score FROM label_scope_dataset",
         "s05_s18_json": "SELECT row_id, text, scope, quality_score FROM scope_dataset_balanced",
         "s10_page_rows": "SELECT document, p.page AS page, p.text AS text FROM (SELECT document, unnest(pages) AS p FROM raw_documents)",
         "s12_runs": "SELECT coalesce(lower(type), 'none') AS run, count(*) AS n, CAST(sum(num_words + CASE WHEN lower(type) = 'text' THEN 1 ELSE 0 END) AS BIGINT) AS n_words FROM layoutlmv3_layout GROUP BY 1",

@@ -46,7 +46,7 @@ def page_rows(documents: DataFrame) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """S-08, S-09: CSV with header, quoted line breaks allowed."""
+    """S-08, S-09: CSV with header, quoted line breaks allowed. Empty fields are null."""
     r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
     return (r.schema(schema) if schema else r).csv(path)
 
