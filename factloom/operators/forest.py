@@ -20,6 +20,8 @@ class Forest:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1).astype(np.int16)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
+        if not self.trees:  # one class
+            return np.ones((len(x), 1))
         b, rows = self._bin(x), np.arange(len(x))
         total = np.zeros((len(x), len(self.classes)))
         for feature, cut, child, share in self.trees:
@@ -43,10 +45,13 @@ class Forest:
 
 def train(x: np.ndarray, y: list, trees: int = 24, depth: int = 14, least: int = 2, seed: int = 5) -> Forest | None:
     """Gini trees on bootstrap samples with random feature subsets; a held-out fifth sets the temperature that
-    calibrates the averaged shares (least negative log likelihood). None without at least two classes."""
+    calibrates the averaged shares (least negative log likelihood). None without at least 20 rows; of one
+    class there is nothing to learn, it is always predicted."""
     classes, target = np.unique(np.asarray(y, dtype=object).astype(str), return_inverse=True)
-    if len(classes) < 2 or len(x) < 20:
+    if len(x) < 20:
         return None
+    if len(classes) < 2:
+        return Forest([], [], classes)
     rng = np.random.default_rng(seed)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
     forest = Forest(edges, [], classes)

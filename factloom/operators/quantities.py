@@ -28,8 +28,11 @@ SPELLINGS = {
 SCALES = {1e3: "thousand|thousands|nghìn|ngàn|'000|’000|000s|k", 1e6: "million|millions|mn|mio|mln|triệu", 1e9: "billion|billions|bn|tỷ|tỉ"}
 CARBON = r"[\s.\-]*(?:of[\s.\-]*|khí[\s.\-]*)?co2[\s.\-]*(?:equivalents?|eq|e)?"
 MASSES = ("t", "kg", "kt", "lb")
+LONGEST = 60  # characters of a number
 NUMBER = r"\d[\d.,]*\d|\d"
 SURE = 0.9
+#: How likely a text is to state another unit than the one its amount is in; weighs the classifier against the text.
+MISSTATED = 0.001
 SAMPLE = 20_000  # labelled rows, at most, that the classifier is fitted on
 
 
@@ -114,15 +117,16 @@ def read_text(text: str | None) -> tuple[float | None, tuple[str, float] | None]
 
 @dataclass
 class Model:
-    """The classifier with the vocabulary of its features."""
+    """The classifier: one forest for the unit, one for the scale word before it, with the vocabulary of their features."""
 
     units: list[str]
     indicators: dict[str, int]
-    forest: forest.Forest | None
+    unit: forest.Forest | None = None
+    scale: forest.Forest | None = None
 
     def features(self, value, indicator, kind, report, text_unit, text_number, text) -> list[float]:
-        """Magnitude, category, source and neighbouring fields of one block."""
-        own = [0.0] * (len(self.units) + 8)
+        """Magnitude, category, source and neighbouring fields of one block: what its text states is one of them."""
+        own = [0.0] * (len(self.units) + 10)
         own[0] = np.log10(abs(value)) if value else -9.0
         own[1] = float(self.indicators.get(indicator or "", -1))
         own[2] = float(sum(map(ord, report or "")) % 64)
@@ -131,10 +135,30 @@ class Model:
         own[5] = np.log10(text_unit[1]) if text_unit else -1.0
         own[6] = float(text_number is not None)
         own[7] = np.log10(abs(text_number)) if text_number else -9.0
+        own[8] = own[0] - own[7] if value and text_number else -19.0
+        own[9] = -1.0
         if text_unit and text_unit[0] in self.units:
-            own[8 + self.units.index(text_unit[0])] = 1.0
+            own[9] = float(self.units.index(text_unit[0]))
+            own[10 + self.units.index(text_unit[0])] = 1.0
         return own
 
+    def assign(self, x: np.ndarray, stated: list[tuple[str, float] | None]) -> list[tuple[tuple[str, float], float, float]]:
+        """The likeliest (unit, scale) of each row, its probability given what the text states, and the forests' own
+        probability of it. A text states the true unit but for MISSTATED of all cases, whatever the unit; so the forests
+        decide alone where nothing is stated, and overrule a text only where they are that sure of another unit."""
+        out = []
+        for pu, ps, said in zip(self.unit.predict(x), self.scale.predict(x), stated):
+            joint = pu[:, None] * ps[None]
+            weighed = joint
+            if said is not None:
+                weighed = joint * MISSTATED
+                at = np.flatnonzero(self.unit.classes == said[0]), np.flatnonzero(self.scale.classes == f"{said[1]:g}")
+                if len(at[0]) and len(at[1]):
+                    weighed[at[0][0], at[1][0]] = joint[at[0][0], at[1][0]]
+            u, s = np.unravel_index(int(weighed.argmax()), weighed.shape)
+            out.append(((str(self.unit.classes[u]), float(self.scale.classes[s])), float(weighed[u, s] / weighed.sum()), float(joint[u, s])))
+        return out
+
 
 def fit(blocks: DataFrame, factors: DataFrame, most: int = SAMPLE) -> Model:
     """Fits the classifier on at most `most` blocks with a recorded, readable unit, chosen by hash of their key."""
@@ -143,30 +167,40 @@ def fit(blocks: DataFrame, factors: DataFrame, most: int = SAMPLE) -> Model:
     share = 1.5 * most / max(1, labelled.count())  # by hash first, so that all tasks together send little more than `most`
     near = labelled.filter(F.pmod(F.xxhash64("block_key"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))) if share < 1 else labelled
     rows = near.orderBy(F.xxhash64("block_key"), "block_key").select("value", "unit", "indicator", "type", "report_id", "text").limit(most).collect()
-    model = Model(units, {x: k for k, x in enumerate(sorted({r.indicator or "" for r in rows}))}, None)
-    x, y = [], []
+    model = Model(units, {x: k for k, x in enumerate(sorted({r.indicator or "" for r in rows}))})
+    x, unit, scale = [], [], []
     for r in rows:
         known = parse_unit(r.unit)
         if known:
             n, u = read_text(r.text)
             x.append(model.features(r.value, r.indicator, r.type, r.report_id, u, n, r.text))
-            y.append(f"{known[0]}|{known[1]:g}")
-    model.forest = forest.train(np.asarray(x, float), y) if x else None
+            unit.append(known[0])
+            scale.append(f"{known[1]:g}")
+    if x:
+        model.unit, model.scale = forest.train(np.asarray(x, float), unit), forest.train(np.asarray(x, float), scale, trees=16)
     return model
 
 
+KEYS = ["block_key", "site_code", "indicator", "year"]
+AMOUNT = {
+    "value": pa.float64(), "unit": pa.string(), "scale": pa.float64(), "common_unit": pa.string(), "common_value": pa.float64(), "unit_amount": pa.float64(),
+    "unit_source": pa.string(), "probability": pa.float64(), "review": pa.bool_(),
+}
+
+
 def convert(layout: DataFrame, factors: DataFrame, sure: float = SURE, most: int = SAMPLE) -> DataFrame:
     """A row per block that states a quantity (site_code, indicator and year set), its amount in the common unit.
 
     (block_key, site_code, indicator, year, value, unit, scale, common_unit, common_value, unit_amount, unit_source,
-    probability, review). A recorded unit is read as it stands. A value without unit takes the unit its text states,
-    a null value takes number and unit from the text. Every block whose unit isn't recorded also goes through the
-    classifier: its probability for the stated unit is kept (review, if it is sure of another one), and where the text
-    states none its unit is taken if at least `sure`, else the block goes to review without amount. unit_amount is
-    what one unit as recorded is in the common unit. unit_source: recorded, text, predicted or none.
-    Unreadable recorded units count as not recorded. Nulls in any other column are allowed; no quantity, no row.
+    probability, review). A recorded unit is read as it stands. Every other block gets its unit and scale from the
+    classifier, for which the unit that the text states is evidence: the likeliest one is assigned if it is at least
+    `sure`, otherwise the block goes to review without amount. A null value is the number beside the unit in the text. An
+    assigned unit that isn't the stated one is assigned but reviewed. unit_amount is what one unit as recorded is in
+    the common unit. unit_source: recorded; text, if the assigned unit is the stated one; predicted, if not; none.
+    Unreadable recorded units count as not recorded; where the text states none either, the block goes to review. Where there is too little to train on, only recorded units count.
+    Nulls in any other column are allowed; no quantity, no row.
     """
-    blocks = layout.filter("site_code is not null and indicator is not null and year is not null").select("block_key", "site_code", "indicator", "year", "value", "unit", "type", "report_id", "text")
+    blocks = layout.filter("site_code is not null and indicator is not null and year is not null").select(*KEYS, "value", "unit", "type", "report_id", "text")
     model = fit(blocks, factors, most)
     table = {r.unit: (r.common_unit, r.factor) for r in factors.select("unit", "common_unit", "factor").collect()}
     shared = layout.sparkSession.sparkContext.broadcast((model, table))  # bounded by the sample
@@ -176,56 +210,66 @@ def convert(layout: DataFrame, factors: DataFrame, sure: float = SURE, most: int
         own, known = once(("units", stamp), lambda: shared.value)
         for batch in batches:
             rows = batch.select(["value", "unit", "indicator", "type", "report_id", "text"]).to_pylist()
-            found, ask = [], []
+            found, ask, stated = [], [], []
             for k, r in enumerate(rows):
                 recorded = parse_unit(r["unit"]) if r["value"] is not None else None
                 n, u = (None, None) if recorded else read_text(r["text"])
                 value = r["value"] if r["value"] is not None else n
-                found.append([value, recorded or u, "recorded" if recorded else "text" if u else "none", 1.0 if recorded else None, False])
-                if not recorded and value is not None:
+                found.append([value, recorded, "recorded" if recorded else "none", 1.0 if recorded else None, not recorded])
+                strange = not recorded and u is None and r["value"] is not None and (r["unit"] or "").strip()
+                if not recorded and value is not None and not strange:
                     ask.append((k, own.features(value, r["indicator"], r["type"], r["report_id"], u, n, r["text"])))
-            if ask and own.forest:
-                chances = own.forest.predict(np.asarray([x for _, x in ask], float))
-                place = {c: j for j, c in enumerate(own.forest.classes)}
-                for (k, _), p in zip(ask, chances):
-                    top = int(p.argmax())
-                    name, scale = own.forest.classes[top].rsplit("|", 1)
-                    if found[k][2] == "none":
-                        found[k][3] = float(p[top])
-                        if p[top] >= sure:
-                            found[k][1:3] = [(name, float(scale)), "predicted"]
-                        else:
-                            found[k][4] = True
-                    else:
-                        stated = f"{found[k][1][0]}|{found[k][1][1]:g}"
-                        found[k][3] = float(p[place[stated]]) if stated in place else 0.0
-                        found[k][4] = bool(p[top] >= sure and own.forest.classes[top] != stated)
-            out = {c: [] for c in ("value", "unit", "scale", "common_unit", "common_value", "unit_amount", "unit_source", "probability", "review")}
+                    stated.append(u)
+            if ask and own.unit and own.scale:
+                assigned = own.assign(np.asarray([x for _, x in ask], float), stated)
+                for (k, _), said, (unit, weighed, chance) in zip(ask, stated, assigned):
+                    found[k][3] = chance
+                    if weighed >= sure:
+                        found[k][1:3] = unit, "text" if unit == said else "predicted"
+                        found[k][4] = said is not None and unit != said
+            out = {c: [] for c in AMOUNT}
             for value, unit, source, p, review in found:
                 common = known.get(unit[0]) if unit else None
                 amount = common[1] * unit[1] if common else None
-                cells = (value, unit[0] if unit else None, unit[1] if unit else None, common[0] if common else None, value * amount if common and value is not None else None, amount, source, p, review or common is None or value is None)
+                whole = value * amount if common and value is not None else None
+                cells = (value, *(unit or (None, None)), common[0] if common else None, whole, amount, source, p, review or whole is None)
                 for c, v in zip(out, cells):
                     out[c].append(v)
-            kinds = dict(value=pa.float64(), unit=pa.string(), scale=pa.float64(), common_unit=pa.string(), common_value=pa.float64(), unit_amount=pa.float64(), unit_source=pa.string(), probability=pa.float64(), review=pa.bool_())
-            keys = ["block_key", "site_code", "indicator", "year"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *[pa.array(v, kinds[c]) for c, v in out.items()]], [*keys, *out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEYS], *[pa.array(v, AMOUNT[c]) for c, v in out.items()]], [*KEYS, *out])
+
+    kinds = {pa.float64(): "double", pa.string(): "string", pa.bool_(): "boolean"}
+    schema = ", ".join(["block_key long, site_code string, indicator string, year int", *[f"{c} {kinds[k]}" for c, k in AMOUNT.items()]])
+    return blocks.mapInArrow(run, schema)
+
 
-    return blocks.mapInArrow(run, "block_key long, site_code string, indicator string, year int, value double, unit string, scale double, common_unit string, common_value double, unit_amount double, unit_source string, probability double, review boolean")
+#: Blocks of one amount and unit from which the pairs of rows are made in SALT parts.
+HOT, SALT = 10_000, 64
 
 
 def same_amounts(converted: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """(block_key_a, block_key_b), smaller first: blocks of one site, indicator and year whose amounts agree within
     `tolerance` of the larger, in units that stand for different amounts of the common unit.
 
-    Amounts of one sign meet in logarithmic buckets of their group, so blocks of one group with other amounts never meet. Blocks
-    without amount are in no pair; two zeros agree. Blocks in the same unit are never paired."""
+    Blocks of one group with the same amount in the same unit are one class; classes of one sign meet in logarithmic
+    buckets, and pairs of blocks come from the pairs of classes, those of a hot class in salted parts. Blocks without amount
+    are in no pair; two zeros agree. Blocks in the same unit are never paired."""
     keys = ["site_code", "indicator", "year", "common_unit"]
+    amount = [*keys, "common_value", "unit_amount"]
     width = float(-np.log1p(-tolerance) * 1.001)
     bucket = F.when(F.col("common_value") == 0, F.lit(-(10**9))).otherwise(F.floor(F.log(F.abs("common_value")) / width))
-    rows = durable(converted.filter("common_value is not null and block_key is not null").select("block_key", *keys, "common_value", "unit_amount", F.signum("common_value").cast("int").alias("sign"), bucket.cast("long").alias("b")))
-    a = rows.withColumnsRenamed({"block_key": "ka", "common_value": "va", "unit_amount": "ua"}).withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    b = rows.withColumnsRenamed({"block_key": "kb", "common_value": "vb", "unit_amount": "ub"})
+    rows = converted.filter("common_value is not null and block_key is not null").withColumn("common_value", F.col("common_value") + 0.0)  # no negative zero
+    rows = durable(rows.select("block_key", *amount, F.unhex(F.md5(F.to_json(F.struct(*amount)))).alias("cls")))
+    some = rows.groupBy("cls", *amount).agg(F.count("*").alias("n"))
+    some = some.withColumn("sign", F.signum("common_value").cast("int")).withColumn("b", bucket.cast("long"))
+    a = some.withColumnsRenamed({"cls": "cls_a", "common_value": "va", "unit_amount": "ua", "n": "na"}).withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
+    b = some.withColumnsRenamed({"cls": "cls_b", "common_value": "vb", "unit_amount": "ub", "n": "nb"})
     agree = (F.abs(F.col("va") - F.col("vb")) <= tolerance * F.greatest(F.abs("va"), F.abs("vb"))) & (F.abs(F.col("ua") - F.col("ub")) > 1e-9 * F.greatest("ua", "ub"))
-    hit = a.join(b, [*keys, "sign", "b"]).filter((F.col("ka") < F.col("kb")) & agree)
-    return hit.select(F.col("ka").alias("block_key_a"), F.col("kb").alias("block_key_b"))
+    links = durable(a.join(b, [*keys, "sign", "b"]).filter((F.col("cls_a") < F.col("cls_b")) & agree).select("cls_a", "cls_b", "na", "nb"))
+    left, right = (rows.select(F.col("cls").alias(f"cls_{x}"), F.col("block_key").alias(f"k{x}"), F.pmod(F.xxhash64("block_key"), F.lit(SALT)).cast("int").alias(f"s{x}")) for x in "ab")
+    hot = F.greatest("na", "nb") > HOT
+    cold = links.filter(~hot).select("cls_a", "cls_b").join(left, "cls_a").join(right, "cls_b")
+    parts = F.sequence(F.lit(0), F.lit(SALT - 1))
+    salted = links.filter(hot).select("cls_a", "cls_b", F.explode(parts).alias("sa")).join(left, ["cls_a", "sa"])
+    salted = salted.withColumn("sb", F.explode(parts)).join(right, ["cls_b", "sb"])
+    hit = cold.select("ka", "kb").unionByName(salted.select("ka", "kb"))
+    return hit.select(F.least("ka", "kb").alias("block_key_a"), F.greatest("ka", "kb").alias("block_key_b"))

@@ -259,3 +259,25 @@ def test_classifier_predicts_missing_units(spark):
     factors = spark.createDataFrame(FACTORS, "unit string, dimension string, common_unit string, factor double")
     held = [r for r in quantities.convert(layout_rows(spark, rows), factors).collect() if r.block_key >= 560]
     assert all(r.unit == ("kWh" if r.block_key % 2 else "tCO2e") and r.unit_source == "predicted" and r.probability >= 0.9 for r in held)
+
+
+def test_the_classifier_decides_missing_units(spark, folder, monkeypatch):
+    """The text's unit is evidence for the forests, not a way around them: with forests that know one class only, other units
+    are not assigned."""
+    layout_, factors = spark.read.parquet(f"{folder}/layoutlmv3_layout.parquet"), spark.read.parquet(f"{folder}/unit_factors.parquet")
+    real = {tuple(r) for r in quantities.same_amounts(quantities.convert(layout_, factors)).collect()}
+    train = quantities.forest.train
+    monkeypatch.setattr(quantities.forest, "train", lambda x, y, **more: train(x, ["MWh" if y[0] in UNIT_NAMES else "1"] * len(y)))
+    constant = {tuple(r) for r in quantities.same_amounts(quantities.convert(layout_, factors)).collect()}
+    assert real and constant != real and constant < real
+
+
+UNIT_NAMES = {u for x in quantities.SPELLINGS for u in (x, f"{x}CO2e")}
+
+
+def test_hot_amounts_pair_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quantities, "HOT", 5)
+    rows = [(k, "s", "use", 2020, "MWh", 100.0, 1.0 if k % 3 else 0.001) for k in range(40)]
+    conv = spark.createDataFrame(rows, "block_key long, site_code string, indicator string, year int, common_unit string, common_value double, unit_amount double")
+    got = sorted((r.block_key_a, r.block_key_b) for r in quantities.same_amounts(conv).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[6] != b[6])
