@@ -1,13 +1,16 @@
-"""Shapes of personal items: labels for training the tagger, and the exact check of what it tags.
+"""Shapes of personal items, which set the edges of what the tagger has found.
 
 Everything here is a fixed value of the languages at hand (titles, street words, shapes of numbers)."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Bà|bà|Ông|ông|Anh|anh|Chị|chị|Cô|cô|Chú|chú|bác|Bác|chuyên gia|tài xế|driver|Driver"
+TITLES += "|" + unicodedata.normalize("NFD", TITLES)  # accents may stand apart
+MONTHS = "January February March April May June July August September October November December"
 STREETS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Close|Drive|Row|Boulevard|Blvd|Crescent"
 VN_STREETS = "đường|phố|ngõ|ngách|hẻm|Đường|Phố"
 PLACES = "Harbour|Ridge|Quay|Bay|Delta|South|North|East|West|Plains|Valley|Junction|Ward|District|Quarter"
@@ -62,77 +65,9 @@ def addresses(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def capital(w: str) -> bool:
-    return w[0].isupper() and (w[1:].islower() or w.isupper() or bool(re.search("[-'’]", w)))
-
-
-def name_runs(text: str, known: set[str], single_ok: bool = True) -> list[tuple[int, int]]:
-    """Runs of known name words (any of the spellings Given Family, FAMILY Given, Family, Given, G. Family)."""
-    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
-    out, k = [], 0
-    while k < len(words):
-        b, e, w = words[k]
-        if not (capital(w) and w.lower() in known):
-            k += 1
-            continue
-        j, end, n = k, e, 1
-        while j + 1 < len(words):
-            nb, ne, nw = words[j + 1]
-            gap = text[end:nb]
-            if gap in (" ", ", ") and capital(nw) and nw.lower() in known and len(nw) > 1 and not (gap == ", " and n > 1):
-                j, end, n = j + 1, ne, n + 1
-            elif gap in (" ", ", ") and len(nw) == 1 and nw.isupper() and text[ne : ne + 1] == ".":
-                j, end, n = j + 1, ne + 1, n + 1
-            else:
-                break
-        begin = b
-        before = re.search(r"(?<!\w)[A-ZĐ]\.\s$", text[max(0, b - 4) : b])
-        if before:
-            begin, n = b - len(before.group()), n + 1
-        after = text[end : end + 24]
-        bad = re.match(rf"\s(?:{FIRMS}|{PLACES}|{STREETS})(?!\w)", after) or re.search(r"\d[A-Z]?\s$", text[max(0, begin - 6) : begin])
-        bad = bad or re.search(r"(?:Ward|District|Quarter|phường|quận|đường|phố)\s$", text[max(0, begin - 12) : begin]) or text[begin - 1 : begin] in ("@", ".", "_") and begin and text[begin - 1] != " "
-        last = text[b:end].split()[-1].strip(".,")
-        place = re.fullmatch(PLACES, words[j][2]) is not None and n == 2
-        titled = bool(TITLE.search(text[max(0, begin - 14) : begin]))
-        if not bad and not place and last and (n >= 2 or titled and single_ok):
-            out.append((begin, end))
-        k = j + 1
-    return out
-
-
-def mine_names(texts: list[str], lexicon: set[str]) -> set[str]:
-    """Name words of a corpus in lower case: those of the lexicon, and those that stand after titles or beside them."""
-    places = set((PLACES + "|" + FIRMS + "|" + STREETS).lower().split("|"))
-    known = {w.lower() for w in lexicon}
-    plain: dict[str, int] = {}
-    for t in texts:
-        for m in WORD.finditer(re.sub(r"\S*\s?@\s?\S*|\S+\s?[\[(]at[\])]|\S+\sat\s\S+\sdot", " ", t)):
-            if m.group()[0].islower():
-                plain[m.group()] = plain.get(m.group(), 0) + 1
-    months = {"january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "contractor"}
-    for _ in range(3):
-        beside: dict[str, int] = {}
-        sure = known - places
-        for t in texts:
-            words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(t)]
-            for (_, e, w), (b2, _, w2) in zip(words, words[1:]):
-                if t[e:b2] in (" ", ", ") and capital(w) and capital(w2) and len(w) > 2 and len(w2) > 2:
-                    for x, y in ((w.lower(), w2.lower()), (w2.lower(), w.lower())):
-                        if x in sure and y not in known:
-                            beside[y] = beside.get(y, 0) + 1
-            for m in re.finditer(rf"(?<!\w)(?:{TITLES})\.?\s([A-ZĐÀ-Ỹ]\w[\w\-]+)(?:\s([A-ZĐÀ-Ỹ]\w[\w\-]+))?", t):
-                for w in m.groups():
-                    if w:
-                        beside[w.lower()] = beside.get(w.lower(), 0) + 2
-        known |= {w for w, n in beside.items() if n >= 4 and w not in places | months and plain.get(w, 0) < 3}
-    return known
-
-
-def labels(text: str, known: set[str]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal items of a text by their shapes, overlaps resolved in the order of kinds."""
+def shapes_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the items that have a usual shape, overlaps resolved in the order of kinds; names have none."""
     out: list[tuple[int, int, str]] = []
-    found = (("email", emails(text)), ("id_number", ids(text)), ("phone", phones(text)), ("address", addresses(text)), ("name", name_runs(text, known)))
-    for kind, spans in found:
+    for kind, spans in (("email", emails(text)), ("id_number", ids(text)), ("phone", phones(text)), ("address", addresses(text))):
         out += [(a, b, kind) for a, b in spans if not any(a < y and x < b for x, y, _ in out)]
     return sorted(out)

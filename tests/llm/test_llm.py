@@ -342,3 +342,26 @@ def test_queries_have_contract_columns(spark, folder):
     for name, columns in want.items():
         df = q.queries()[name](spark, folder)
         assert df.columns == columns and df.count() > 0, name
+
+
+def test_the_tagger_decides_where_shapes_say_otherwise():
+    from factloom.llm.tagger import Tagger
+
+    plain = set(personal.MODEL.with_name("personal_plain.txt").read_text().split("\n"))
+    finder = personal.Finder(Tagger.load(personal.MODEL), plain, [])
+    text = "Mr Voskar Tembell (ID card 412-77-9043) signed the waste transfer note."
+    assert [k for _, _, k in rules.shapes_of(text)] == ["phone"]
+    assert ("412-77-9043", "id_number") in [(text[a:b], k) for a, b, k in finder.find([text])[0]]
+    finder.tagger.p["bo"] = finder.tagger.p["bo"] + (100.0 * (finder.tagger.p["bo"] * 0 + 1)) * ([1.0] + [0.0] * (len(finder.tagger.p["bo"]) - 1))
+    assert finder.find([text]) == [[]]  # a tagger that sees nothing: nothing is found
+
+
+def test_edges_of_long_items_and_of_items_without_shape():
+    street = "12 " + "Vorwood " * 2 + "Road" + ", Selmar Ward"
+    text = "x " * 400 + street + " y" * 400
+    assert personal.edges(text, 805, 808, "address") == [(800, 800 + len(street))]
+    text = "Ask 12 34 56 7 now"
+    assert rules.shapes_of(text) == [] and personal.edges(text, 3, 14, "phone") == [(4, 14)]
+    assert personal.edges("5 kg @ 12 USD", 0, 13, "email") == [] and personal.edges("see 12", 0, 6, "phone") == []
+    names = "Ostrick Havelor Benedan Quilmar Sunder Mirlane"
+    assert personal.name_edges(f"by {names}.", 3, 3 + len(names), {"by"}, set()) == (3, 3 + len(names))
