@@ -19,7 +19,6 @@ from factloom.runtime import durable, once
 SHARE = 100_000
 LEAST = 3  # occurrences, for small tables
 CLEARLY = 10  # a correction must be so many times as frequent as the word with a sign or digit that it corrects
-LONGEST = 60  # characters; longer tokens are no words
 FAR = 400  # the same for a word of letters only, which may well be a word of its own; fewer take the evidence of its neighbours
 ALIKE = 1 / 3  # share of a word's places with both neighbours as around its correction: misreadings have 0.4 and more, words 0.02
 
@@ -42,7 +41,8 @@ PAGE = re.compile(
     re.I | re.M,
 )
 BARE = re.compile(r"\s*\d{1,3}\s*|\s*\d{1,3}\s*/\s*\d{1,3}\s*")
-CARRIED = re.compile(rf"(?<!\S)(\S*[^\W\d_])([{HYPHENS}])[^\S\n]*\n[^\S\n]*(?=([^\s]+))")
+CUT = re.compile(rf"[^\W\d_][{HYPHENS}]$")
+UNKNOWN, UNKNOWN_LETTER = 10.0, 3.0  # cost of a token that is no word, and of each of its letters
 
 
 @dataclass
@@ -72,6 +72,8 @@ class Decoder:
     def __post_init__(self) -> None:
         total = sum(self.words.values()) or 1
         self.cost = {w: -math.log(n / total) for w, n in self.words.items()}
+        #: No reading as one word is longer: a confusion reads two characters for one, each edit may drop a sign more.
+        self.longest = 2 * max(map(len, self.words), default=0) + self.most_edits + 1
         for w in self.words:
             node = self.trie
             for c in w:
@@ -118,7 +120,7 @@ class Decoder:
             best: list[tuple[float, int, Piece | None]] = [(0.0, 0, None)] + [(math.inf, 0, None)] * len(s)
             for begin in range(len(s)):
                 here = best[begin][0]
-                if here == math.inf or most > 2 and begin > 40:
+                if here == math.inf:
                     continue
                 for end, w, edits, joins in self.arcs(s, begin, most):
                     if end == begin:
@@ -136,16 +138,20 @@ class Decoder:
                 return out[::-1]
         return None
 
-    def stretch(self, s: str, phrases: frozenset[str]) -> list[tuple[int, int, str | None, int]]:
-        """(begin, end, word, edits) of the cheapest reading of the tokens of `s`, which one space parts.
+    def stretch(self, s: str, phrases: frozenset[str], extra: dict[int, list[tuple[int, str, float]]] | None = None) -> list[tuple[int, int, str | None, int]]:
+        """(begin, end, word, edits) of the cheapest reading of the tokens of `s`, which a space or, where a line ends in a
+        hyphen, a line break parts.
 
-        A token may stay unknown (word None), tokens may merge to a word if one of them is unknown, and an unknown one
-        may split into words that are `phrases` of the corpus two by two; up to one character of a word is confused.
-        Tokens of the lexicon and whole unknown tokens aren't edited here."""
+        `extra`: further arcs (end, word, cost) by where they begin: a token corrected in itself, the parts of a word that
+        hyphens have cut, or such parts as they stand; nothing else reaches over a line break, and a token with such an
+        arc has no other. A token may stay unknown (word None), tokens may merge to a word if one of them is unknown, and
+        an unknown one may split into words that are `phrases` of the corpus two by two; up to one character of a word is
+        confused there. Tokens of the lexicon aren't edited."""
+        extra = extra or {}
         known = {}  # begin of each token -> (end, whether it is a word)
         at = 0
-        for x in s.split(" "):
-            known[at] = (at + len(x), x in self.words)
+        for x in re.split("[ \n]", s):
+            known[at] = (at + len(x), x in self.words or at in extra)
             at += len(x) + 1
         begins, owner = sorted(known), {}
         for b in begins:
@@ -155,17 +161,23 @@ class Decoder:
             here = [(k, v[0]) for k, v in best.items() if k[0] == begin]
             if not here:
                 continue
-            arcs: list[tuple[int, str | None, int]] = [(e, w, n) for e, w, n, _ in self.arcs(s, begin, 1) if s[e - 1] != " "]
+            arcs: list[tuple[int, str | None, int, float | None]] = [(e, w, 1, c) for e, w, c in extra.get(begin, [])]
+            if not arcs:
+                arcs = [(e, w, n, None) for e, w, n, _ in self.arcs(s, begin, 1) if s[e - 1] not in " \n" and "\n" not in s[begin:e]]
             if begin in known and not known[begin][1]:
-                arcs.append((known[begin][0], None, 0))
-            for end, w, edits in arcs:
+                arcs.append((known[begin][0], None, 0, None))
+            for end, w, edits, cost in arcs:
                 if end <= begin:
                     continue
                 own = [b for b in begins if owner[begin] <= b < end]
                 whole = begin in known and end == known[own[-1]][0]
                 new = any(not known[b][1] for b in own)
-                if w is None:
-                    cost = 10.0 + 3.0 * (end - begin)
+                if cost is not None:
+                    pass
+                elif w is None:
+                    cost = UNKNOWN + UNKNOWN_LETTER * (end - begin)
+                elif any(b in extra for b in own):
+                    continue
                 elif whole and len(own) == 1:
                     if edits:
                         continue
@@ -186,12 +198,16 @@ class Decoder:
             key = best[key][1]
         return out[::-1]
 
+    def price(self, word: str) -> float:
+        """Cost of a word as it stands."""
+        return self.cost.get(word, UNKNOWN + UNKNOWN_LETTER * len(word))
+
 
 class Page:
     """What one worker knows about the corpus: lexicon, titles, and the verdicts on words it has met."""
 
     def __init__(self, words: dict[str, int], titles: tuple[tuple[str, ...], tuple[str, ...]], phrases: frozenset[str] = frozenset()):
-        self.phrases, self.unknown, self.streams = phrases, set(), {}
+        self.phrases, self.unknown, self.streams, self.joined = phrases, set(), {}, {}
         self.words, self.decoder, self.rewriter = words, Decoder(words), Rewriter()
         self.suspect = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m.group(1), 16):08x}", suspects()))
         self.fine: set[str] = set()
@@ -215,7 +231,7 @@ class Page:
     def verdict(self, token: str) -> str | None:
         """The corrected token if it holds a wrongly read character, else None. `token` is in lower case."""
         core = token.strip(EDGE)
-        if not core or len(core) > LONGEST or core in self.words or NUMBER.fullmatch(core) or FINE.fullmatch(core):
+        if not core or core in self.words or NUMBER.fullmatch(core) or FINE.fullmatch(core):
             return None
         if not core.isascii():
             core = "".join(self.rewriter.rewrite(core)[0].lower().split())
@@ -233,7 +249,7 @@ class Page:
             if p in self.words or p.isdigit():
                 fixed.append(p)
                 continue
-            if len(p) < 3:
+            if len(p) < 3 or len(p) > self.decoder.longest:
                 return None
             path = self.decoder.decode(p)
             if not path or len(path) != 1 or not path[0].edits:
@@ -258,58 +274,129 @@ class Page:
                     if same not in self.words and ODD.fullmatch(core) and not FINE.fullmatch(core):
                         self.unknown.add(w)
                     continue
+                if len(self.bad) > 300_000:
+                    self.bad.clear()
                 self.bad[w] = got
             out[w] = got
         return out
 
-    def spaced(self, text: str) -> tuple[bool, str]:
-        """Whether words of a text run together or are broken by a space, and the text with their spaces set right.
+    def read(self, text: str) -> tuple[bool, str]:
+        """Whether the words of a text carry traces of the scanned page, and the text with its words as they were.
 
-        Decoded are stretches of unknown tokens with the words beside them, across single line breaks, up to the next
-        sign, number or blank line."""
+        The text is one stream of tokens across its lines. The cheapest path over it takes each token as it stands, corrected,
+        merged with its neighbours, split, or joined over the hyphen at a line end; the readings of a stretch compete.
+        Words of the lexicon with nothing odd beside them have one reading, so only the stretches between them are decoded:
+        unknown tokens with the words beside them up to the next sign, number or blank line, corrected tokens, and parts
+        cut by hyphens."""
         parts = re.split(r"(\s+)", text)  # tokens at even places
         tokens = parts[::2]
-        odd = [x.lower() in self.unknown for x in tokens]
-        beside = [o or len(x) == len(x.lower()) and x.lower().strip(EDGE) in self.words for o, x in zip(odd, tokens)]
-        bound = [k == 0 or not (beside[k - 1] and beside[k]) or tokens[k - 1][-1] in EDGE or tokens[k][0] in EDGE or parts[2 * k - 1].count("\n") > 1 for k in range(len(tokens))] + [True]
+        low = [x.lower() for x in tokens]
+        fixed = self.misread(set(low))
+        n = len(tokens)
+        cut = [k + 1 < n and "\n" in parts[2 * k + 1] and bool(tokens[k + 1]) and bool(CUT.search(tokens[k])) for k in range(n)]
+        odd = [x in self.unknown for x in low]
+        if not (fixed or any(cut) or any(odd)):
+            return False, text
+        beside = [o or len(x) == len(y) and y.strip(EDGE) in self.words for o, x, y in zip(odd, tokens, low)]
+        apart = [k == 0 or not (beside[k - 1] and beside[k]) or tokens[k - 1][-1] in EDGE or tokens[k][0] in EDGE or parts[2 * k - 1].count("\n") > 1 for k in range(n)] + [True]
         hit, k = False, 0
-        while k < len(tokens):
-            if not odd[k] or len(tokens[k]) != len(tokens[k].lower()):
+        while k < n:
+            if not (odd[k] and len(tokens[k]) == len(low[k]) or cut[k] or low[k] in fixed):
                 k += 1
                 continue
-            first, last = k if bound[k] else k - 1, k
-            while not bound[last + 1] and (odd[last] or odd[last + 1]):
+            first = last = k
+            if odd[k] and not apart[k] and not cut[k - 1]:
+                first = k - 1
+            while last + 1 < n and (cut[last] or not apart[last + 1] and (odd[last] or odd[last + 1])):
                 last += 1
             k = last + 1
-            left = len(tokens[first]) - len(tokens[first].lstrip(EDGE))
-            right = len(tokens[last].rstrip(EDGE)) if first < last else len(tokens[last].rstrip(EDGE)) - left
-            own = [x.strip(EDGE) for x in tokens[first : last + 1]]
-            s = " ".join(own)
-            got = self.streams.get(s.lower())
-            if got is None:
-                if len(self.streams) > 300_000:
-                    self.streams.clear()
-                got = self.streams[s.lower()] = self.decoder.stretch(s.lower(), self.phrases)
-            if len(got) == len(own) and all(" " not in s[b:e] for b, e, _, _ in got):
+            found = self.island(tokens, parts, cut, fixed, first, last)
+            if found is not None:
+                hit |= found[0]
+                parts[2 * first : 2 * last + 1] = [found[1]] + [""] * (2 * (last - first))
+        return hit, "".join(parts)
+
+    def island(self, tokens: list[str], parts: list[str], cut: list[bool], fixed: dict[str, str], first: int, last: int) -> tuple[bool, str] | None:
+        """A trace or not, and the text of the tokens first..last on their cheapest path; None if they stay as they are."""
+        own, edge = [], []
+        for k in range(first, last + 1):
+            x = tokens[k]
+            left = len(x) - len(x.lstrip(EDGE))
+            mark = 1 if cut[k] and k < last else 0
+            core = x[left:].rstrip(EDGE) if not mark else x[left:-mark]
+            own.append(core or x)
+            edge.append((x[:left], x[left + len(core) :] if core else ""))
+        joint = ["\n" if cut[k] else " " for k in range(first, last)]
+        s = own[0] + "".join(j + x for j, x in zip(joint, own[1:]))
+        if len(s.lower()) != len(s):
+            return None
+        starts = [0]
+        for x in own[:-1]:
+            starts.append(starts[-1] + len(x) + 1)
+        extra: dict[int, list[tuple[int, str, float]]] = {}
+        at = 0
+        while at < len(own):
+            end, word = at, tokens[first + at]
+            while end < len(joint) and joint[end] == "\n":  # a word may be cut more than once
+                got = self.carried(word[: -1], word[-1], tokens[first + end + 1], parts[2 * (first + end) + 1].count("\n") > 1)
+                keep = sum(map(self.decoder.price, (word[:-1].lower(), own[end + 1].lower())))
+                b, e = starts[at], starts[end + 1] + len(own[end + 1])
+                arcs = extra.setdefault(b, [])
+                arcs.append((e, "\1", keep + self.decoder.split_cost))  # the word's own hyphen: only the break goes
+                if got is not None:
+                    arcs.append((e, "\2", min(keep, self.decoder.price(got))))
+                    word = word[:-1] + tokens[first + end + 1]
+                    end += 1
+                else:
+                    word = word + tokens[first + end + 1]
+                    end += 1
+            if end == at and (w := fixed.get(tokens[first + at].lower())):
+                extra[starts[at]] = [(starts[at] + len(own[at]), w, self.decoder.price(w))]
+            for k in range(at + 1, end + 1):
+                extra.setdefault(starts[k], [(starts[k] + len(own[k]), own[k].lower(), self.decoder.price(own[k].lower()))])
+            at = end + 1
+        key = (s.lower(), tuple(sorted((b, tuple(a)) for b, a in extra.items())))
+        got = self.streams.get(key)
+        if got is None:
+            if len(self.streams) > 300_000:
+                self.streams.clear()
+            got = self.streams[key] = self.decoder.stretch(s.lower(), self.phrases, extra)
+        hit, out, place = False, "", {b: k for k, b in enumerate(starts)}
+        for i, (b, e, w, edits) in enumerate(got):
+            if i and s[b - 1] in " \n" and b in place:
+                out += parts[2 * (first + place[b]) - 1]
+            elif i:
+                out += " "
+                hit = True
+            if b in extra and b in place:
+                k = place[b]
+                to = next(j for j in range(k, len(own)) if starts[j] + len(own[j]) == e)
+                whole = [tokens[first + j] for j in range(k, to + 1)]
+                if w == "\2":
+                    piece = "".join(x[:-1] for x in whole[:-1]) + whole[-1]
+                    piece = recase(piece, self.misread({piece.lower()}).get(piece.lower()))
+                    hit = True
+                elif w == "\1":
+                    piece = "".join(whole)
+                else:
+                    piece = recase(whole[0], w) if whole[0].lower() in fixed else whole[0]
+                    hit |= whole[0].lower() in fixed
+                out += piece
                 continue
-            hit = True
-            gaps = iter(range(first, last))
-            out = tokens[first][:left]
-            for b, e, w, edits in got:
-                for _ in range(s.count(" ", b, e)):
-                    next(gaps)
-                piece = s[b:e].replace(" ", "")
-                out += recase(piece, w) if edits else piece
-                if e < len(s):
-                    out += parts[2 * next(gaps) + 1] if s[e] == " " else " "
-            parts[2 * first : 2 * last + 1] = [out + tokens[last][right if first < last else left + right :]] + [""] * (2 * (last - first))
-        return hit, "".join(parts) if hit else text
-
-    def carried(self, left: str, mark: str, right: str) -> str | None:
-        """The word that a hyphen at a line end has cut, or None where the hyphen belongs to the word."""
-        key = f"{left}\n{mark}{right}"
-        if key in self.bad:
-            return self.bad[key] or None
+            spaces = s.count(" ", b, e)
+            piece = s[b:e].replace(" ", "")
+            head = edge[place[b]][0] if b in place else ""
+            final = next((k for k, x in enumerate(starts) if x + len(own[k]) == e), None)
+            hit |= bool(spaces)
+            out += head + (recase(piece, w) if edits else piece) + (edge[final][1] if final is not None else "")
+        return hit, out
+
+    def carried(self, left: str, mark: str, right: str, far: bool = False) -> str | None:
+        """The word that a hyphen at a line end has cut, or None where the hyphen belongs to the word. `far`: a blank line
+        lies between; then only a word of the lexicon is whole."""
+        key = f"{left}\n{mark}{right}{far}"
+        if key in self.joined:
+            return self.joined[key] or None
         a, b = left.lower().lstrip(EDGE), right.lower().strip(EDGE)
         b = re.split(r"[-–—/]", b)[0]
         a = re.split(r"[-–—/]", a)[-1]
@@ -320,13 +407,15 @@ class Page:
             got = ""
         elif joined in self.words:
             got = joined
-        elif f"{a}-{b}" in self.words or a in self.words and b in self.words:
+        elif f"{a}-{b}" in self.words or a in self.words and b in self.words or far:
             got = ""
         else:
-            path = self.decoder.decode(f"{a}\n{b}") if len(joined) <= LONGEST else None
+            path = self.decoder.decode(f"{a}\n{b}") if len(joined) < self.decoder.longest else None
             # fragments of a rarer word: at least one of them is no word
             got = path[0].word if path and len(path) == 1 else joined
-        self.bad[key] = got
+        if len(self.joined) > 300_000:
+            self.joined.clear()
+        self.joined[key] = got
         return got or None
 
     def noise(self, text: str) -> set[int]:
@@ -351,24 +440,8 @@ class Page:
         noise = set() if running else self.noise(text)
         if noise:
             text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in noise)
-        hyphens = 0
-
-        def join(m: re.Match) -> str:
-            nonlocal hyphens
-            word = self.carried(m.group(1), m.group(2), m.group(3))
-            if word is None:
-                return m.group(1) + m.group(2)  # the word's own hyphen: only the break goes
-            hyphens += 1
-            return m.group(1)
-
-        if "\n" in text:
-            text = CARRIED.sub(join, text)
-        tokens = set(text.lower().split())
-        wrong = self.misread(tokens)
-        if wrong:
-            text = re.sub(r"\S+", lambda m: recase(m.group(), wrong.get(m.group().lower())), text)
-        spaces, text = (False, text) if self.unknown.isdisjoint(tokens) else self.spaced(text)
-        return bool(noise or hyphens or wrong or spaces) and not running, paragraphs(text)
+        traces, text = self.read(text)
+        return bool(noise or traces) and not running, paragraphs(text)
 
     def table(self, rows: list[list[str | None] | None]) -> tuple[bool, list[list[str | None]]]:
         """Whether a table carries traces of the scanned page, and its rows without them, each cell on one line."""
@@ -453,7 +526,7 @@ def tokens_of(layout: DataFrame, tables: DataFrame) -> DataFrame:
             numbers = 0
             for w, n in raw.items():
                 core = w.strip(EDGE)
-                if core and len(core) <= LONGEST and not NUMBER.fullmatch(core):
+                if core and not NUMBER.fullmatch(core):
                     out[core] += n
                 else:
                     numbers += n
@@ -582,9 +655,10 @@ def _titles(report_files: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
 def repair(layout: DataFrame, tables: DataFrame, report_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row_key, text, noisy) of the blocks and (row_key, table_data, noisy) of the tables.
 
-    Text comes out in continuous paragraphs: words cut by a hyphen at a line end are joined, wrongly read characters
-    corrected, words that run together or are broken by a space set right, running titles and page numbers amid other content removed, line breaks within paragraphs gone. noisy:
-    at least one such trace was there. Blocks of type header or footer and blocks of one item only keep their title or
+    Text comes out in continuous paragraphs: the words are read as one stream (Page.read), so that words cut by a hyphen at a
+    line end are joined, wrongly read characters corrected, words that run together or are broken by a space set right;
+    running titles and page numbers amid other content are removed, line breaks within paragraphs gone. noisy: at least one
+    such trace was there. Blocks of type header or footer and blocks of one item only keep their title or
     page number. Null texts and tables: no row; empty and blank ones come out empty, not noisy. Ties and repeated rows
     are treated alike. Word counts come from all texts and cells of both tables.
     """

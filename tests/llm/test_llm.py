@@ -365,3 +365,37 @@ def test_edges_of_long_items_and_of_items_without_shape():
     assert personal.edges("5 kg @ 12 USD", 0, 13, "email") == [] and personal.edges("see 12", 0, 6, "phone") == []
     names = "Ostrick Havelor Benedan Quilmar Sunder Mirlane"
     assert personal.name_edges(f"by {names}.", 3, 3 + len(names), {"by"}, set()) == (3, 3 + len(names))
+
+
+def scan_page():
+    words = {w: 500 for w in "the water of mill emissions in march withdrawal was low reported by plant management energy".split()}
+    return scanned.Page(words, (("Acme",), ("Annual Report",)), frozenset({"the water", "emissions in", "water of"}))
+
+
+@pytest.mark.parametrize(
+    "text, fixed",
+    [
+        ("reported thewater of the mill", "reported the water of the mill"),
+        ("reported the wa ter of the mill", "reported the water of the mill"),
+        ("emissionsin march was low", "emissions in march was low"),
+        ("the withdraw-\nal was low", "the withdrawal was low"),
+        ("the withdraw-\n\nal was low", "the withdrawal was low"),
+        ("the with-\ndraw-\nal was low", "the withdrawal was low"),
+        ("the withdrawa1 of wa ter was low", "the withdrawal of water was low"),
+        ("the manage-\nrnent was low", "the management was low"),
+    ],
+)
+def test_one_path_splits_merges_joins_and_corrects(text, fixed):
+    assert scan_page().block("text", text) == (True, fixed)
+
+
+def test_words_as_they_stand_are_no_traces():
+    p = scan_page()
+    for text in ("the water of the mill", "the mill was low\nin march", "", " ", "co-plant energy", "low-\nenergy plant", "x" * 5000, "water" * 3000 + "zz"):
+        assert not p.block("text", text)[0], text[:40]
+    assert p.block("text", "low-\nenergy plant")[1] == "low-energy plant"
+
+
+def test_long_paragraphs_stay_whole():
+    lines = "\n".join(["the water of the mill was low in march and more of it was"] * 130)
+    assert "\n\n" not in scan_page().block("text", lines)[1]
