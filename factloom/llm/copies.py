@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from factloom.runtime import durable
 
 #: A separator of named fields: a bar, semicolon or line end before the next "name:" or "name=".
-FIELD_SPLIT = r"[|;\n]+(?=\s*\p{L}[\p{L}\p{M} _]{0,40}\s*[:=])"
-FIELD = r"^\s*[^\p{L}\n]{0,3}\s*\p{L}[\p{L}\p{M} _]{0,40}\s*[:=].*"
+FIELD_SPLIT = r"[|;\n]+(?=\s*+\p{L}[\p{L}\p{M} _]*+\s*+[:=])"
+FIELD = r"^\s*[^\p{L}\n]{0,3}\s*\p{L}[\p{L}\p{M} _]*+\s*+[:=].*"
 
 
 def squeeze(c: Column) -> Column:

@@ -18,6 +18,9 @@ from factloom.runtime import once
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX УY ԌG ԚQ ԜW аa еe оo рp сc хx іi јj ѕs уy һh ԁd ԛq ԝw ӏl ѵv"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ιi ρp αa υu κk"
 ARMENIAN_AND_OTHER = "օo ցg հh սu ոn Տ​S ɑa ɡg ɩi ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ".replace("​", "")
+CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᎩY ᏃZ"
+COPTIC = "ⲀA ⲂB ⲈE ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲬX ⲟo ⲣp ⲥc"
+SYLLABICS = "ᗅA ᗷB ᑕC ᗞD ᗪD ᖴF ᕼH ᒍJ ᒪL ᗰM ᑭP ᖇR ᑌU ᐯV ᗯW ᙭X ᘔZ"
 SIGNS = "\u2024. \u2236: \u2215/ \u2044/ \u037e; \ufe50, \u2217* \u2223|"
 MUCH = 10
 #: Characters without any ink that aren't spaces, besides Unicode's format characters (Cf).
@@ -31,7 +34,7 @@ def rules() -> tuple[list[tuple[str, str]], set[str]]:
     space; wide, narrow, font and ligature forms like their compatibility form; a base with separate accents like the
     composed letter, in every order that is canonically the same."""
     pairs: list[tuple[str, str]] = []
-    for cp in [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0001, 0xE01F0)]:
+    for cp in [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1FBF0, 0x1FBFA), *range(0xE0001, 0xE01F0)]:
         c = chr(cp)
         kind = unicodedata.category(c)
         how = unicodedata.decomposition(c)
@@ -39,7 +42,7 @@ def rules() -> tuple[list[tuple[str, str]], set[str]]:
             pairs.append((c, ""))
         elif kind == "Zs":
             pairs.append((c, " "))
-        elif how.startswith(("<wide>", "<narrow>", "<font>")) or how.startswith("<compat>") and (0xFB00 <= cp <= 0xFB06 or 0x2160 <= cp <= 0x217F or 0x1C4 <= cp <= 0x1CC or 0x132 <= cp <= 0x133):
+        elif how.startswith(("<wide>", "<narrow>", "<font>")) or how == "<compat> 0073" or how.startswith("<compat>") and (0xFB00 <= cp <= 0xFB06 or 0x2160 <= cp <= 0x217F or 0x1C4 <= cp <= 0x1CC or 0x132 <= cp <= 0x133):
             plain = unicodedata.normalize("NFKC", c)
             if plain != c:
                 pairs.append((c, plain))
@@ -58,7 +61,11 @@ def rules() -> tuple[list[tuple[str, str]], set[str]]:
                     odd = begin + rest
                     if rest and odd != c and unicodedata.normalize("NFC", odd) == c:
                         pairs.append((odd, c))
-    scripts = [(x[0], x[1]) for x in f"{CYRILLIC} {GREEK} {ARMENIAN_AND_OTHER}".split()]
+    scripts = [(x[0], x[1]) for x in f"{CYRILLIC} {GREEK} {ARMENIAN_AND_OTHER} {CHEROKEE} {COPTIC} {SYLLABICS}".split()]
+    for cp in [*range(0x1D00, 0x1D23), *range(0x262, 0x2A0), *range(0xA730, 0xA7B0)]:  # small capitals, by their names
+        m = re.fullmatch("LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(cp), ""))
+        if m:
+            scripts.append((chr(cp), m.group(1).lower()))
     return list(dict.fromkeys([*pairs, *scripts, *[(x[0], x[1]) for x in SIGNS.split()]])), {odd for odd, _ in scripts}
 
 
@@ -161,11 +168,11 @@ class Rewriter:
     def rewrite(self, text: str) -> tuple[str, bool]:
         """The text in one form, and whether it held a character that is invisible or only drawn like another."""
         text, odd = self._once(text)
-        for _ in range(4):  # an accent after a rewritten base joins it in the next round
-            new, more = self._once(text)
-            if new == text:
-                break
-            text, odd = new, odd or more
+        seen = set()
+        while text not in seen:  # an accent after a rewritten base joins it in the next round
+            seen.add(text)
+            text, more = self._once(text)
+            odd |= more
         return text, odd or bool(self.mark.search(text))
 
 
@@ -193,7 +200,8 @@ def normalise(texts: DataFrame, keys: list[str], text: str = "text", counts: dic
 
     odd: the text held an invisible or look-alike character or a base letter with a separate accent. Letters of other
     scripts count only in words that hold Latin letters, too. Null texts stay null, empty ones empty, odd false.
-    Texts without any suspect character never leave the JVM. Repeated rows stay repeated.
+    Texts without any suspect character are not rewritten in Python; every text is read there once for the counts of
+    characters, an array per batch, unless `counts` are given. Repeated rows stay repeated.
     """
     odd = F.col("text").rlike(f"[^{ORDINARY}]") & F.col("text").rlike(suspects())
     narrow = texts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("text"))

@@ -144,7 +144,7 @@ def _squeeze(x: str) -> str:
     return f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\ue000\ue001]+', '', 'g')"
 
 
-_NAME = r"\p{L}[\p{L}\p{M} _]{0,40}\s*[:=]"
+_NAME = r"\p{L}[\p{L}\p{M} _]*\s*[:=]"
 _COPIES = f"""
 base AS (SELECT row_id, {_squeeze("lower(block_id)")} AS block, text, {_squeeze("lower(text)")} AS prose,
            list_filter(string_split(regexp_replace(text, '[|;\n]+(\\s*{_NAME})', '\ue002\\1', 'g'), '\ue002'), lambda p: {_squeeze("lower(p)")} <> '') AS parts

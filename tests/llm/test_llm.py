@@ -399,3 +399,21 @@ def test_words_as_they_stand_are_no_traces():
 def test_long_paragraphs_stay_whole():
     lines = "\n".join(["the water of the mill was low in march and more of it was"] * 130)
     assert "\n\n" not in scan_page().block("text", lines)[1]
+
+
+def test_field_names_of_any_length(spark):
+    long = "the yearly average of all purchased and self generated heat"
+    rows = [(1, "b", f"{long}: 5; site: x"), (2, "B", f"Site: x;\n{long.upper()} = 5"), (3, "b", f"{long}: 6; site: x")]
+    df = spark.createDataFrame(rows, "row_id long, block_id string, text string")
+    assert {r.row_id: r.first_row_id for r in copies.groups(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("odd, plain", [("Ꭺir", "Air"), ("ᴀir", "air"), ("use ɢas", "use gas"), ("Ⲟil", "Oil"), ("ᗪiesel", "Diesel"), ("ſteam", "steam"), ("a\U0001fbf5", "a5")])
+def test_letters_of_rare_scripts(odd, plain):
+    assert lookalikes.Rewriter().rewrite(odd) == (plain, True)
+
+
+def test_rewriting_goes_on_until_nothing_changes():
+    text = "e" + "​̂​́" + "x"
+    got, odd = lookalikes.Rewriter().rewrite(text)
+    assert odd and lookalikes.Rewriter().rewrite(got) == (got, False)
