@@ -27,7 +27,7 @@ from factloom.llm.tagger import TAGS, Tagger, alphabet
 SENTENCES = 40_000  # of the corpus, at most
 GENERATED = 30_000
 WORKERS = 6
-DOCUMENTS = 8_000  # that a trained tagger labels for its second training, at most
+DOCUMENTS = 5_000  # that a trained tagger labels for its second training, at most
 T = 176
 SYLLABLES = "ba be bri ca cor da den dra el fa fen ga gor ha hol is jo ka kel la lor ma mer na nor o pel qua ra ri sa sol ta tor u va vel wi xan ya zor thú bảo nguyễ đà lê phạ".split()
 TAILS = "n l r s th dor lan vik mir sen mont wood ley ridge dale na ra lo vin rel orr".split()
@@ -293,4 +293,4 @@ def compare(held: list[str], lexicon: list[tuple[str, str]], plain: set[str]) ->
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], *map(int, sys.argv[2:3]))
+    main(sys.argv[1], *map(int, sys.argv[2:4]))
