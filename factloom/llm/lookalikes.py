@@ -103,7 +103,7 @@ def suspects() -> str:
 
 
 #: Ranges of ordinary characters that hold no suspect; a text of nothing else needs no closer look.
-ORDINARY = r"\x{0}-\x{7F}\x{A1}-\x{AC}\x{AE}-\x{131}\x{134}-\x{1C3}\x{1E00}-\x{1EFF}\x{2010}-\x{2023}\x{2030}-\x{2043}\x{2070}-\x{209C}"
+ORDINARY = r"\x{0}-\x{7F}\x{A1}-\x{AC}\x{AE}-\x{131}\x{134}-\x{17E}\x{180}-\x{1C3}\x{1E00}-\x{1EFF}\x{2010}-\x{2023}\x{2030}-\x{2043}\x{2070}-\x{209C}"
 
 
 class Rewriter:
