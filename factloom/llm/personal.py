@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import batched
 from pathlib import Path
 
 import numpy as np
@@ -16,19 +17,11 @@ from factloom.llm.tagger import TAGS, Tagger
 from factloom.runtime import once, spread
 
 MODEL = Path(__file__).parent / "personal_model.npz" if "__file__" in globals() else None
-BEFORE, AFTER = 48, 64  # characters of a window around a trigger
-WIDTH, STEP = 192, 128  # longer windows are cut so, and reconciled
-BATCH = 256
-
-#: Cheap, generous signs that a personal item may be near; every window with one is tagged.
-TRIGGER = re.compile(
-    r"@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:dot|DOT)\s|(?<![\d.,])[+(]*\d(?:[ .()/\-]{0,2}\d){6,}|[A-Z]\d{6,}"
-    rf"|\d[A-Z]?,?\s(?:[A-ZĐÀ-Ỹ][\w'’\-]*\s){{1,3}}(?:{rules.STREETS})(?!\w)|\d[A-Z]?\s(?:{rules.VN_STREETS})\s"
-    rf"|(?<!\w)(?:{rules.TITLES})\.?\s[A-ZĐÀ-Ỹ]"
-)
+WIDTH, STEP = 192, 128  # a window is at most so wide, and read for at most STEP characters in its middle
+BATCH = 128
+
 CAPITAL = re.compile(r"(?<![\w@])[A-ZĐÀ-Ỹ][^\W\d_]+(?:[-'’][^\W\d_]+)*")
 AFTER_SITE = re.compile(r"(?<![\w@])[A-ZĐÀ-Ỹ][^\W\d_]+\s$")
-SITE = re.compile(rf"\s(?:{rules.PLACES}|{rules.FIRMS})(?!\w)")
 
 
 def flags_of(text: str, given: set[str], family: set[str]) -> np.ndarray:
@@ -43,27 +36,13 @@ def flags_of(text: str, given: set[str], family: set[str]) -> np.ndarray:
     return out
 
 
-def windows(text: str, names: set[str], plain: set[str]) -> list[tuple[int, int]]:
-    """Merged stretches of a text around triggers, words of the name lexicon and capitalised words that aren't plain."""
-    at = [m.span() for m in TRIGGER.finditer(text)]
-    doubtful = {w for w in set(CAPITAL.findall(text)) if w.lower() in names or w.lower() not in plain}
-    for m in CAPITAL.finditer(text) if doubtful else ():
-        if m.group() not in doubtful:
-            continue
-        w = m.group().lower()
-        if w not in names and SITE.match(text, m.end()):
-            continue
-        if w in PLACE_WORDS and AFTER_SITE.search(text, max(0, m.start() - 40), m.start()):
-            continue  # the second word of a site
-        at.append(m.span())
-    out: list[list[int]] = []
-    for a, b in sorted(at):
-        a, b = max(0, a - BEFORE), min(len(text), b + AFTER)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def windows(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, end, first, last) of overlapping windows over all n characters of a text. Each position is read in one of
+    them, from first to before last: the one whose edges are farther away, those of the text aside."""
+    pieces, margin = -(-n // STEP), (WIDTH - STEP) // 2
+    for k in range(pieces):
+        first, last = n * k // pieces, n * (k + 1) // pieces
+        yield max(0, first - margin), min(n, last + margin), first, last
 
 
 PLACE_WORDS = set(rules.PLACES.lower().split("|"))
@@ -79,42 +58,18 @@ class Finder:
         self.names = self.given | self.family
 
     def tag(self, texts: list[str]) -> list[dict[int, str]]:
-        """Per text, the tag of each position inside a window. Where windows overlap, the one whose edges are farther
-        away decides."""
-        jobs, where = [], []
-        for k, t in enumerate(texts):
-            wins = windows(t, self.names, self.plain)
-            if not wins:
-                continue
-            flag = flags_of(t, self.given, self.family)
-            for a, b in wins:
-                begin = a
-                while True:
-                    end = min(b, begin + WIDTH)
-                    jobs.append(([self.tagger.chars.get(c, 1) for c in t[begin:end]], flag[begin:end]))
-                    where.append((k, begin, end))
-                    if end == b:
-                        break
-                    begin += STEP
-        out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        order = sorted(range(len(jobs)), key=lambda j: len(jobs[j][0]))
-        for i in range(0, len(order), BATCH):
-            own = order[i : i + BATCH]
-            longest = len(jobs[own[-1]][0])
-            x, f = np.zeros((longest, len(own)), np.int32), np.zeros((longest, len(own)), np.int32)
-            for col, j in enumerate(own):
-                n = len(jobs[j][0])
-                x[:n, col], f[:n, col] = jobs[j][0], jobs[j][1]
-            tags = self.tagger.decode(x, f)
-            for col, j in enumerate(own):
-                k, begin, end = where[j]
-                column = tags[: end - begin, col]
-                inner = np.flatnonzero(column)
-                got = out[k]
-                if len(inner):
-                    for p in inner.tolist():
-                        got[begin + p] = max(got.get(begin + p, (-1, 0)), (min(p, end - begin - 1 - p), int(column[p])))
-        return [{p: TAGS[t] for p, (_, t) in o.items()} for o in out]
+        """Per text, the tag of each position that is part of an item; all positions are looked at. Where windows overlap, the
+        one whose edges are farther away decides."""
+        flags = [flags_of(t, self.given, self.family) for t in texts]
+        out: list[dict[int, str]] = [{} for _ in texts]
+        for some in batched(((k, *w) for k, t in enumerate(texts) for w in windows(len(t))), 32 * BATCH):
+            jobs = sorted(some, key=lambda j: j[1] - j[2])
+            for i in range(0, len(jobs), BATCH):
+                own = jobs[i : i + BATCH]
+                tags = self.tagger.decode([self.tagger.ids(texts[k][a:b]) for k, a, b, _, _ in own], [flags[k][a:b] for k, a, b, _, _ in own])
+                for (k, a, _, first, last), found in zip(own, tags):
+                    out[k].update((a + p, TAGS[found[p]]) for p in (np.flatnonzero(found[first - a : last - a]) + first - a).tolist())
+        return out
 
     def spans(self, tags: dict[int, str]) -> list[tuple[int, int, str]]:
         out: list[list] = []
@@ -239,8 +194,8 @@ def _chunks(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
 def items(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", path: Path | None = None) -> DataFrame:
     """(key, kind, start_pos, end_pos) of every personal item; positions count code points.
 
-    Null, empty and blank texts have none. Repeated rows give repeated items. Windows around every trigger of the
-    whole text are tagged, however long the text is; overlapping windows are reconciled before spans are read."""
+    Null, empty and blank texts have none. Repeated rows give repeated items. Every position of a text is
+    tagged, however long the text is; overlapping windows are reconciled before spans are read."""
     get = finder(df.sparkSession, lexicon, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,15 @@ ROADS = "Street St Road Rd Lane Ln Avenue Ave Close Drive Row".split()
 VN_NAMES = "Sông Hạ Lụa|Cầu Sương|Đồi Gió Xanh|Lam Khê Thượng|Trăng Nhỏ|Bến Mây|Hồ Sen|Núi Đỏ|Vườn Cau".split("|")
 SITES = "Harbour Ridge Quay Bay Delta South North East West Plains Valley Junction".split()
 
+BEFORE, AFTER = 48, 64  # characters of a window around a trigger
+#: Generous signs that a personal item may be near; they only pick what the second training learns from.
+TRIGGER = re.compile(
+    r"@|[\[({<]\s?(?:at|AT)\s?[\])}>]|\s(?:dot|DOT)\s|(?<![\d.,])[+(]*\d(?:[ .()/\-]{0,2}\d){6,}|[A-Z]\d{6,}"
+    rf"|\d[A-Z]?,?\s(?:[A-ZĐÀ-Ỹ][\w'’\-]*\s){{1,3}}(?:{rules.STREETS})(?!\w)|\d[A-Z]?\s(?:{rules.VN_STREETS})\s"
+    rf"|(?<!\w)(?:{rules.TITLES})\.?\s[A-ZĐÀ-Ỹ]"
+)
+SITE = re.compile(rf"\s(?:{rules.PLACES}|{rules.FIRMS})(?!\w)")
+
 
 class Maker:
     """Invents items and sentences around them, all from one random source."""
@@ -238,13 +247,36 @@ def samples(maker: Maker, carriers: list[str], n: int) -> list[tuple[str, list[t
     return out
 
 
+def near_triggers(text: str, names: set[str], plain: set[str]) -> list[tuple[int, int]]:
+    """Merged stretches of a text around triggers, words of the name lexicon and capitalised words that aren't plain."""
+    at = [m.span() for m in TRIGGER.finditer(text)]
+    doubtful = {w for w in set(personal.CAPITAL.findall(text)) if w.lower() in names or w.lower() not in plain}
+    for m in personal.CAPITAL.finditer(text) if doubtful else ():
+        if m.group() not in doubtful:
+            continue
+        w = m.group().lower()
+        if w not in names and SITE.match(text, m.end()):
+            continue
+        if w in personal.PLACE_WORDS and personal.AFTER_SITE.search(text, max(0, m.start() - 40), m.start()):
+            continue  # the second word of a site
+        at.append(m.span())
+    out: list[list[int]] = []
+    for a, b in sorted(at):
+        a, b = max(0, a - BEFORE), min(len(text), b + AFTER)
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def taught(own: personal.Finder, texts: list[str]) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Windows of documents with the items that the tagger itself has found in them."""
     out = []
     for k in range(0, len(texts), 500):
         part = texts[k : k + 500]
         for text, found in zip(part, own.find(part)):
-            for a, b in personal.windows(text, own.names, own.plain):
+            for a, b in near_triggers(text, own.names, own.plain):
                 a, b = max(0, a - 40), min(len(text), b + 40)
                 inside = [(max(x, a) - a, min(y, b) - a, kind) for x, y, kind in found if x < b and a < y]
                 out += [(text[a:b], inside)] * (3 if inside else 1)

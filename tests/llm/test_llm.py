@@ -356,6 +356,47 @@ def test_the_tagger_decides_where_shapes_say_otherwise():
     assert finder.find([text]) == [[]]  # a tagger that sees nothing: nothing is found
 
 
+def test_every_position_is_tagged():
+    import numpy as np
+
+    from factloom.llm.tagger import LEAN, TAGS, Tagger
+
+    plain = set(personal.MODEL.with_name("personal_plain.txt").read_text().split("\n"))
+    finder = personal.Finder(Tagger.load(personal.MODEL), plain, [])
+    around = "the pump was moved. "
+    for before, item, after, kind in (
+        ("Please write to ", "selmar.ostrick at post.vorwood.org", " before the meeting. ", "email"), ("Call ", "+84 - 24 - 382 - 1234", " for help. ", "phone"),
+        ("Call ", "024\u2011555\u20110131", " for help. ", "phone"),
+    ):
+        for lines in (0, 3, 30, 36, 40, 106, 400):  # at an edge of two windows, too
+            text = around * lines + before + item + after + around * lines
+            assert [(text[a:b], k) for a, b, k in finder.find([text])[0]] == [(item, kind)], (item, lines)
+    for n in (0, 1, personal.STEP, personal.STEP + 1, 5 * personal.STEP + 7, 100_003):
+        wins = list(personal.windows(n))
+        assert [p for _, _, first, last in wins for p in range(first, last)] == list(range(n))
+        assert all(0 <= a <= first < last <= b <= n and b - a <= personal.WIDTH and (a == 0 or first - a == 32) and (b == n or b - last == 32) for a, b, first, last in wins)
+
+    # batches of any lengths: the same as a plain pass and Viterbi over each sequence alone
+    t, p = finder.tagger, finder.tagger.p
+    texts = ["Ask Mr Voskar Tembell, 024 555 0131, or mail voskar@vorwood.org; \U0001f600.", "Call 024 555 0131.", "Mr Tembell", "x"]
+    flags = [np.arange(len(x)) % 4 for x in texts]
+    a = p["A"].copy()
+    a[0, [k for k, x in enumerate(TAGS) if x[0] == "B"]] += LEAN
+    for text, f, got in zip(texts, flags, t.decode([t.ids(x) for x in texts], flags)):
+        x = np.array([t.chars.get(c, 1) for c in text])
+        assert (t.ids(text) == x).all()
+        forth, back = t._run(x[:, None], f[:, None], "f", False)[0][1:, 0], t._run(x[::-1, None], f[::-1, None], "b", False)[0][:0:-1, 0]
+        e = np.concatenate([forth, back], 1) @ p["Wo"] + p["bo"]
+        score, ways = e[0], []
+        for row in e[1:]:
+            ways.append((score[:, None] + a).argmax(0))
+            score = (score[:, None] + a).max(0) + row
+        best = [int(score.argmax())]
+        for way in reversed(ways):
+            best.append(int(way[best[-1]]))
+        assert got.tolist() == best[::-1] and (len(text) < 9 or any(best))
+
+
 def test_edges_of_long_items_and_of_items_without_shape():
     street = "12 " + "Vorwood " * 2 + "Road" + ", Selmar Ward"
     text = "x " * 400 + street + " y" * 400
