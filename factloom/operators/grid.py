@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import numbers as n
 from factloom.functions import text as t
 from factloom.lexicon import DEFAULT, Config
-from factloom.runtime import durable
+from factloom.operators import unpivot
 
 KEY = ["table_key", "row_no", "col_no"]
 
@@ -148,37 +148,18 @@ def facts(cells: DataFrame, config: Config = DEFAULT) -> DataFrame:
     header row, else from all rows above the data (last 20xx of a cell, lower rows win), else none and every column but
     metric and unit is a value column. Rows without metric, of headings, totals and table words are skipped; of equal
     (metric, year, value, column) the first row stays. A table of one row takes its first text cell as metric."""
-    m = durable(_cell(cells, config))  # six joins read the marked cells
-    heads = header_rows(m)
-    many = header_columns(m, heads.filter("n_rows > 1")).withColumn("start", F.greatest("header_row", "key_row") + 1)
-    own_years = m.join(many.select("table_key", "key_row"), "table_key").filter("row_no = key_row and year is not null").select("table_key", "col_no", "year")
-    above = m.join(many.filter("n_years = 0").select("table_key", "start"), "table_key").filter("row_no < start and fy is not null").groupBy("table_key", "col_no").agg(F.max_by("fy", "row_no").alias("year"))
-    dated = own_years.unionByName(above)
-    undated = many.join(dated.select("table_key").distinct(), "table_key", "left_anti")
-    header_cells = m.join(undated.select("table_key", "header_row", "metric_col", "unit_col"), "table_key").filter("row_no = header_row and col_no <> metric_col and (unit_col is null or col_no <> unit_col)")
-    values = dated.withColumn("year_source", F.lit("table_header")).unionByName(header_cells.select("table_key", "col_no", F.lit(None).cast("int").alias("year"), F.lit("fallback_no_year_column").alias("year_source")))
-    roles = many.select("table_key", "start", "metric_col", "unit_col")
-    r = m.join(roles, "table_key").filter("row_no >= start")
-    row = r.groupBy("table_key", "row_no").agg(F.max(F.when(F.col("col_no") == F.col("metric_col"), F.col("x"))).alias("metric_text"), F.coalesce(F.max(F.when(F.col("col_no") == F.col("unit_col"), F.col("x"))), F.lit("")).alias("unit"))
-    row = row.filter(_metric_ok(F.col("metric_text"), config))
-    out = m.select(*KEY, "x", "number").join(values, ["table_key", "col_no"]).join(row, ["table_key", "row_no"])
-    out = out.filter("number").withColumn("value", n.parse_number(F.col("x"))).filter("value is not null")
-    first = Window.partitionBy("table_key", "col_no", F.lower("metric_text"), "year", "value").orderBy("row_no")
-    out = out.withColumn("k", F.row_number().over(first)).filter("k = 1")
-    one = _single_rows(m, heads, config)
-    out = out.select(*KEY, "metric_text", "value", "unit", "year", "year_source", t.contains_any(F.concat("metric_text", F.lit(" "), "unit"), config.table_words).alias("is_esg")).unionByName(one)
-    return out.withColumn("metric_id", F.concat_ws("_", "table_key", "row_no", "col_no"))
-
-
-def _metric_ok(c: Column, config: Config) -> Column:
-    return F.coalesce(~t.invalid_metric(c, config) & ~t.is_heading(c, config) & ~t.is_total(c, config), F.lit(False))
-
-
-def _single_rows(m: DataFrame, heads: DataFrame, config: Config) -> DataFrame:
-    c = m.join(heads.filter("n_rows = 1").select("table_key"), "table_key")
-    head = c.filter("not number and x <> ''").groupBy("table_key").agg(F.min(F.struct("col_no", "x")).alias("h")).select("table_key", F.col("h.col_no").alias("metric_col"), F.col("h.x").alias("metric_text")).filter(_metric_ok(F.col("metric_text"), config))
-    v = c.join(head, "table_key").filter("col_no <> metric_col and number").withColumn("value", n.parse_number(F.col("x"))).filter("value is not null")
-    return v.select(*KEY, "metric_text", "value", F.lit("").alias("unit"), F.lit(None).cast("int").alias("year"), F.lit("single_row_table_report_year").alias("year_source"), t.contains_any(F.col("metric_text"), config.table_words).alias("is_esg"))
+    return _marked_facts(unpivot.facts(cells, config, nested=False), config)
+
+
+def table_facts(tables: DataFrame, config: Config = DEFAULT, carried: tuple[str, ...] = (), context: bool = False) -> DataFrame:
+    """The facts of nested tables (table_key, table_data), which are never taken apart into a row per cell; carried, context: see unpivot."""
+    return _marked_facts(unpivot.facts(tables, config, True, carried, context), config)
+
+
+def _marked_facts(f: DataFrame, config: Config) -> DataFrame:
+    rest = f.columns[8:]
+    esg = t.contains_any(F.concat("metric_text", F.lit(" "), "unit"), config.table_words)
+    return f.select(*f.columns[:8], esg.alias("is_esg"), F.concat_ws("_", *KEY).alias("metric_id"), *rest)
 
 
 def structure_ok(cells: DataFrame, config: Config = DEFAULT) -> DataFrame:

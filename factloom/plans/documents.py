@@ -125,7 +125,7 @@ def t08_header_columns(s: S, d: str) -> DataFrame:
 
 
 def t10_facts(s: S, d: str) -> DataFrame:
-    return grid.facts(i.cells(s, d))
+    return grid.table_facts(table(s, d, "all_tables"))
 
 
 def t11_table_text(s: S, d: str) -> DataFrame:

@@ -118,6 +118,29 @@ def test_facts(spark):
     assert grid.facts(as_cells(spark, t).filter("false")).count() == 0
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def odd_tables(spark, folder):
+    """A key that came twice, one without value, null and empty tables, rows and cells, odd blanks."""
+    rows = [
+        (1, "r1", "p1", [["Indicator", "Unit", "FY2024"], ["Fuel\u3000use", "MWh", "1.234,5"], ["Fuel use", None, "1,234.5"], None, [], ["fuel use", "t", "7"]]), (2, "r2", "p2", [["Diesel\n", "12", None]]),
+        (3, None, "p3", [["Item", "2023"], ["Scope 1 emissions", "5"]]), (3, "r1", "p4", [["Item", "2023"], ["Scope 1 emissions", "5"]]), (None, "r1", "p5", [["Diesel", "3"]]), (4, "r1", "p6", None), (5, "r1", "p7", []), (6, "r1", "p8", [[]]),
+    ]
+    spark.createDataFrame(rows, "table_key long, report_id string, page string, table_data array<array<string>>").write.parquet(f"{folder}/all_tables.parquet")
+    spark.createDataFrame([("r1", "A", 2024), ("r2", "B", 2022)], "report_id string, company string, year int").write.parquet(f"{folder}/report_files.parquet")
+    return str(folder)
+
+
+def test_facts_take_one_pass(spark, tmp_path):
+    got = documents.t10_facts(spark, odd_tables(spark, tmp_path))
+    assert exchanges(got) == 1 and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(1, 1, 2, "Fuel use", 1234.5, "MWh", 2024), (1, 5, 2, "fuel use", 7, "t", 2024), (2, 0, 1, "Diesel", 12, "", None), (3, 1, 1, "Scope 1 emissions", 5, "", 2023)]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == want
+    assert sorted(tuple(r) for r in grid.facts(inputs.cells(spark, str(tmp_path))).collect()) == sorted(tuple(r) for r in got.collect())
+
+
 def test_region_headers_look_at_all_rows(spark, tmp_path):
     rows = [(1, [["a", "1"], ["b", "2"], ["c", "2023"], ["d", "FY2024"]]), (2, [["a", "1"], ["b", "2"], ["c", "Unit"]]), (3, [["a", "1"], ["b", "2"], ["c", "2023"], [None, ""]]), (4, [["Year", "2"]])]
     spark.createDataFrame(rows, "table_key long, table_data array<array<string>>").write.parquet(f"{tmp_path}/all_tables.parquet")
