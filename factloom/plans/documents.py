@@ -186,7 +186,7 @@ def q_scope_values(s: S, d: str) -> DataFrame:
 
 def q_facts(s: S, d: str) -> DataFrame:
     """Facts of all tables with scope, company, year and page."""
-    return facts.scoped_facts(i.cells(s, d), table(s, d, "all_tables"), table(s, d, "report_files"))
+    return facts.scoped_facts(table(s, d, "all_tables"), table(s, d, "report_files"))
 
 
 OWN = [f for name, f in list(globals().items()) if callable(f) and name[0] in "jwtfraq" and name[1:3].isdigit()] + [q_scope_values, q_facts]

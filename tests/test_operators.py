@@ -141,6 +141,16 @@ def test_facts_take_one_pass(spark, tmp_path):
     assert sorted(tuple(r) for r in grid.facts(inputs.cells(spark, str(tmp_path))).collect()) == sorted(tuple(r) for r in got.collect())
 
 
+def test_scoped_facts_take_one_pass(spark, tmp_path):
+    got = documents.q_facts(spark, odd_tables(spark, tmp_path))
+    assert exchanges(got) == 2  # the tables by key, the reports to all
+    rows = sorted((r.table_key, r.row_no, r.company, r.year, r.page, r.metric_text, r.scope) for r in got.fillna("", ["company"]).collect())
+    assert rows == [
+        (1, 1, "A", 2024, "p1", "Fuel use", "Scope 1"), (1, 5, "A", 2024, "p1", "fuel use", "Scope 1"), (2, 0, "B", 2022, "p2", "Diesel", "Scope 1"),
+        (3, 1, "", 2023, "p3", "Scope 1 emissions", "Other"), (3, 1, "A", 2023, "p4", "Scope 1 emissions", "Other"),
+    ]
+
+
 def test_region_headers_look_at_all_rows(spark, tmp_path):
     rows = [(1, [["a", "1"], ["b", "2"], ["c", "2023"], ["d", "FY2024"]]), (2, [["a", "1"], ["b", "2"], ["c", "Unit"]]), (3, [["a", "1"], ["b", "2"], ["c", "2023"], [None, ""]]), (4, [["Year", "2"]])]
     spark.createDataFrame(rows, "table_key long, table_data array<array<string>>").write.parquet(f"{tmp_path}/all_tables.parquet")
