@@ -49,7 +49,8 @@ def k02_line_order(s: S, d: str) -> DataFrame:
 def k03_word_limits(s: S, d: str) -> DataFrame:
     """Words of a page (180), rows of a table (120) and metrics of a table (50) that reports show."""
     words = report.first_rows(i.words(s, d), ["page"], ["ocr_index"], 180).select(F.lit("words").alias("what"), C("page").alias("key"))
-    rows = i.cells(s, d).select("table_key", "row_no").distinct()
+    rows = table(s, d, "all_tables").select("table_key", F.posexplode(F.transform("table_data", F.size)).alias("row_no", "width")).filter("width > 0")
+    rows = rows.select("table_key", "row_no").repartition("table_key").distinct()  # what follows needs the rows by table, too
     rows = report.first_rows(rows, ["table_key"], ["row_no"], 120).select(F.lit("rows").alias("what"), C("table_key").alias("key"))
     facts = report.first_rows(documents.t10_facts(s, d), ["table_key"], ["row_no", "col_no"], 50).select(F.lit("metrics").alias("what"), C("table_key").alias("key"))
     return words.unionByName(rows).unionByName(facts).groupBy("what", "key").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import dataset, evaluate, grid, kb, layout, lineage, quantities, scope, spatial
-from factloom.plans import data, documents, inputs
+from factloom.plans import data, documents, flows, inputs
 from factloom.streaming import events as ev
 
 WORDS = "page long, ocr_index int, x0 int, y0 int, x1 int, y1 int, layout_label string, text string"
@@ -151,6 +151,17 @@ def test_scoped_facts_take_one_pass(spark, tmp_path):
     ]
 
 
+def test_word_limits(spark, tmp_path):
+    long = [["Item", "2023"], *([f"Fuel use {k}", str(k)] for k in range(130)), None, []]
+    rows = [(1, long), (2, [["Item", "2023"], None, ["Fuel use", "5"], []]), (2, [["Item", "2023"], None, ["Fuel use", "5"], []]), (3, None), (4, [["Item"]])]
+    spark.createDataFrame(rows, "table_key long, table_data array<array<string>>").write.parquet(f"{tmp_path}/all_tables.parquet")
+    lines = spark.range(200).selectExpr("if(id < 190, 3, 40) AS l_orderkey", "id AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "1.0 AS l_extendedprice", "2.0 AS l_quantity")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = flows.k03_word_limits(spark, str(tmp_path))
+    assert exchanges(got) <= 5  # words by page, rows and whole tables by key, facts by key, the counts
+    assert {(r.what, r.key): r.n for r in got.collect()} == {("words", 0): 180, ("words", 2): 10, ("rows", 1): 120, ("rows", 2): 2, ("rows", 4): 1, ("metrics", 1): 50, ("metrics", 2): 1}
+
+
 def test_region_headers_look_at_all_rows(spark, tmp_path):
     rows = [(1, [["a", "1"], ["b", "2"], ["c", "2023"], ["d", "FY2024"]]), (2, [["a", "1"], ["b", "2"], ["c", "Unit"]]), (3, [["a", "1"], ["b", "2"], ["c", "2023"], [None, ""]]), (4, [["Year", "2"]])]
     spark.createDataFrame(rows, "table_key long, table_data array<array<string>>").write.parquet(f"{tmp_path}/all_tables.parquet")
